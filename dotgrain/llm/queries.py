@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
+from .fingerprint import op10_fingerprint
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .pii import op9_pii
 
-QUERIES = {"op7_line_dedup": op7_line_dedup}
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_pii": op9_pii,
+    "op10_fingerprint": op10_fingerprint,
+}
 ORACLE = {"op7_line_dedup": OP7_SQL}
