@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import grown, slices, table
 
 LONG_TEXT, MOST_STATES, MOST_PIECES = 1 << 20, 300_000, 150_000
 
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__dg_text"), made], [*(n for n in batch.schema.names if n != "__dg_text"), ids])
 
     rest = docs.drop(ids)
-    schema = rest.schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = grown(rest.schema, **{ids: T.ArrayType(T.IntegerType())})
     return rest.withColumn("__dg_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -286,7 +286,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, text])
 
     rest = encoded.drop(text)
-    return rest.withColumn("__dg_ids", F.col(ids)).mapInArrow(run, rest.schema.add(text, "string"))
+    return rest.withColumn("__dg_ids", F.col(ids)).mapInArrow(run, grown(rest.schema, **{text: T.StringType()}))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

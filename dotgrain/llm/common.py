@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK64 = (1 << 64) - 1
 
@@ -47,6 +47,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    """A schema with further fields (StructType.add would change the one of the frame it came from)."""
+    return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in more.items())])
+
+
 def remainder(doc_id: str, k: int):
     """crc32 of doc_id as text, mod k (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % k
@@ -149,6 +154,3 @@ def shingle_hashes(words: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarr
         out = np.where(inside, out * np.uint64(0x9FB21C651E98DF25) + step, out)
     return mix64(out), starts
 
-
-def ensure_env() -> None:
-    os.environ.setdefault("OMP_NUM_THREADS", "1")

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import _BYTE, _powers, mix64, slices, stage, table
+from .common import _BYTE, _powers, grown, mix64, slices, stage, table
 
 WINDOW, LEAST_BLOCK, CHARS, MOST, GRAM = 7, 3, 64, 96, 7
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -114,7 +115,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a column fingerprint (a given one gives way). A null text counts as empty."""
     docs = docs.drop("fingerprint").withColumn("__dg_text", F.col(text).cast("string"))
-    return docs.mapInArrow(_fingerprint_batches, docs.schema.add("fingerprint", "string")).drop("__dg_text")
+    return docs.mapInArrow(_fingerprint_batches, grown(docs.schema, fingerprint=T.StringType())).drop("__dg_text")
 
 
 def edited(text: str, following: str) -> str:

@@ -21,8 +21,9 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix64, slices, stage, table
+from .common import grown, mix64, slices, stage, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 MAX_BROADCAST_KEYS = 2_000_000
@@ -257,7 +258,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         gone = gone.groupBy(F.col("doc_id").alias("__dg_gone")).agg(F.collect_set("line").alias("__dg_more"))
         lined = lined.join(gone, F.col("__dg_id").eqNullSafe(F.col("__dg_gone")), "left").drop("__dg_gone")
     plain = lined.drop("__dg_more")
-    schema = plain.schema.add("__dg_n_lines", "long").add("__dg_n_dropped", "long").add("__dg_kept", "string")
+    schema = grown(plain.schema, __dg_n_lines=T.LongType(), __dg_n_dropped=T.LongType(), __dg_kept=T.StringType())
     extra = rest is not None
     out = lined.mapInArrow(lambda it: _probe(it, index, min_chars, extra), schema)
     if only_needed:

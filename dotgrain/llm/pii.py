@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import grown, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -139,6 +139,9 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
+
 def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "__dg_text"):
         spans = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in find(t)] for t in batch.column("__dg_text").to_pylist()]
@@ -149,7 +152,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with pii, an array of (kind, start, end, score). A null or empty text has none; a column that is
     named pii gives way; every row is handled alone, so ties and repeated rows don't matter."""
     docs = docs.drop("pii").withColumn("__dg_text", F.col(text).cast("string"))
-    schema = docs.schema.add("pii", T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("score", "double")))
+    schema = grown(docs.schema, pii=SPANS)
     return docs.mapInArrow(_find_batches, schema).drop("__dg_text")
 
 
@@ -157,10 +160,14 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: str):
+    return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [_count(kind) for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
@@ -179,3 +186,11 @@ def brute_force(text: str | None) -> list[tuple[str, int, int]]:
 
 def sha(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+
+
+def brute_rows(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    out = {}
+    for doc_id, text in rows:
+        spans = brute_force(text)
+        out[doc_id] = (*(sum(k == b for k, _, _ in spans) for b in BASE), sha(spans))
+    return out
