@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .fingerprint import op10_fingerprint
+from .mixing import op2_mixing
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .pii import op9_pii
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op9_pii": op9_pii,
