@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .fingerprint import op10_fingerprint
+from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .mixing import op2_mixing
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .pii import op9_pii
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
 }
-ORACLE = {"op7_line_dedup": OP7_SQL}
+ORACLE = {"op7_line_dedup": OP7_SQL, "op8_embedding_dedup": OP8_SQL}
