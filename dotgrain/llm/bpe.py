@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import grown, slices, table
 
-LONG_TEXT, MOST_STATES, MOST_PIECES = 1 << 20, 300_000, 150_000
+LONG_TEXT, MOST_STATES, MOST_PIECES = 1 << 20, 200_000, 80_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -254,21 +254,25 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with ids, an array of the text's tokens; each match of pattern is encoded alone, without special
-    tokens. A null or empty text has no tokens; a given column of that name gives way. path: a file of ranks that
-    every machine has."""
+    tokens. A null or empty text has no tokens; given columns of these names give way. path: a file of ranks that
+    every machine has. decoded: the name of one more column, for what the ids decode to, made by the same worker."""
 
     def run(batches):
-        encoder = _encoder(path, pattern)
+        encoder, tokens = _encoder(path, pattern), _tokens(path) if decoded else []
         for batch in slices(batches, "__dg_text"):
             found = [encoder(t) if t else np.zeros(0, np.int32) for t in batch.column("__dg_text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__dg_text"), made], [*(n for n in batch.schema.names if n != "__dg_text"), ids])
-
-    rest = docs.drop(ids)
-    schema = grown(rest.schema, **{ids: T.ArrayType(T.IntegerType())})
+            new = {ids: made}
+            if decoded:
+                new[decoded] = pa.array(["".join(decode_stream(x.tolist(), tokens)) for x in found], pa.string())
+            names = [n for n in batch.schema.names if n != "__dg_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], [*names, *new])
+
+    rest = docs.drop(ids, *([decoded] if decoded else []))
+    schema = grown(rest.schema, **{ids: T.ArrayType(T.IntegerType())}, **({decoded: T.StringType()} if decoded else {}))
     return rest.withColumn("__dg_text", F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -291,6 +295,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = default_vocabulary()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    digest = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(digest, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, path, pattern, decoded="decoded").drop("text")
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

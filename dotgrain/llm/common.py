@@ -16,7 +16,12 @@ from pyspark.sql import types as T
 MASK64 = (1 << 64) - 1
 
 
+#: What Spark may hand to a Python worker at once; its own default of 64 MB is held several times over by each worker.
+BATCH_BYTES = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

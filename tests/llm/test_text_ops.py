@@ -164,6 +164,15 @@ def test_bpe_round_trip_and_reference(spark):
             assert x.ids == own.encode_ordinary(x.given or "")
 
 
+def test_op3_query(spark, tmp_path):
+    rows = [(1, "Hello wörld  🙂"), (2, None), (2, ""), (3, "x\ny")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    path, pattern = bpe.default_vocabulary()
+    encoder, sha = bpe.Encoder(path, pattern), lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = sorted((i, len(ids := encoder(t or "").tolist()), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in rows)
+    assert sorted(map(tuple, bpe.op3_bpe(spark, str(tmp_path)).collect())) == want
+
+
 def test_bpe_pairs_and_small_memory(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_STATES", 50)
     monkeypatch.setattr(bpe, "MOST_PIECES", 10)
