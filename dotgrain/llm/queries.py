@@ -10,9 +10,11 @@ from .jaccard_join import op4_jaccard_join
 from .language_id import op6_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .pii import op9_pii
+from .substring_dedup import op1_substring_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_jaccard_join": op4_jaccard_join,
