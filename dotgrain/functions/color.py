@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RGB = tuple[Column, Column, Column]
@@ -91,20 +91,18 @@ def hsl_to_rgb(hsl: RGB) -> RGB:
     return tuple(F.when(s <= 1e-9, grey).otherwise(put(_hue(p, q, h + k))) for k in (1 / 3, 0.0, -1 / 3))
 
 
-def adjust(rgb: RGB, hue: float = 0, saturation: float = 1, brightness: float = 0) -> RGB:
-    """Turns the hue, scales the saturation, lifts or lowers the lightness; without any change the input, unrounded."""
+def adjust(df: DataFrame, hue: float = 0, saturation: float = 1, brightness: float = 0, names: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """Turns the hue, scales the saturation, lifts or lowers the lightness of three columns; without any change the
+    input, unrounded. Steps are columns of their own: as one expression the code for it would be too long to compile."""
     if hue == 0 and saturation == 1 and brightness == 0:
-        return rgb
-    h, s, light = rgb_to_hsl(rgb)
-    h = h + hue / 360.0
-    h = h - F.floor(h)
-    s = clamp(s * float(saturation), 0, 1)
-    k = brightness / 100.0
-    if k > 0:
-        light = clamp(light + (1 - light) * k, 0, 1)
-    elif k < 0:
-        light = clamp(light * (1 + k), 0, 1)
-    return hsl_to_rgb((h, s, light))
+        return df
+    df = df.withColumns(dict(zip(("__h", "__s", "__l"), rgb_to_hsl(tuple(map(F.col, names))), strict=True)))
+    k, light = brightness / 100.0, F.col("__l")
+    light = clamp(light + (1 - light) * k, 0, 1) if k > 0 else clamp(light * (1 + k), 0, 1)
+    turned = F.col("__h") + hue / 360.0
+    df = df.withColumns({"__h": turned - F.floor(turned), "__s": clamp(F.col("__s") * float(saturation), 0, 1), "__l": light})
+    new = hsl_to_rgb((F.col("__h"), F.col("__s"), F.col("__l")))
+    return df.withColumns(dict(zip(names, new, strict=True))).drop("__h", "__s", "__l")
 
 
 def density(rgb: RGB) -> RGB:
