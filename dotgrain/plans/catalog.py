@@ -1,6 +1,6 @@
 """All registered queries of the screening engine, and their SQL."""
 
-from . import basic
+from . import advanced, basic
 
-QUERIES = {**basic.QUERIES}
-ORACLE = {**basic.ORACLE}
+QUERIES = {**basic.QUERIES, **advanced.QUERIES}
+ORACLE = {**basic.ORACLE, **advanced.ORACLE}
