@@ -111,14 +111,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: doc_id, text, toxic. Rows with a null text or label, or a text beyond SAMPLE_CHARS, aren't learned
-    from. At most `sample` rows of each class are, those of the least hashes. Without rows, or with one class only,
-    the model says 0.5 or the class's rate for every text."""
-    usable = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    by = [F.xxhash64("doc_id", "text"), F.col("doc_id"), F.col("text")]
-    picked = [usable.where(F.col("toxic") == k).orderBy(*by).limit(sample) for k in (0, 1)]
-    got = picked[0].unionByName(picked[1]).select("text", "toxic").coalesce(1).mapInArrow(_train, "hash long, weight double").collect()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Rows with a null id, text or label, or a text beyond SAMPLE_CHARS,
+    aren't learned from. Of each class about `sample` labels are, those of the least hashes: they are picked before
+    documents are read, so that only these (2 x sample ids, broadcast) meet the texts. Without rows the model says
+    0.5 for every text; with one class only, about its rate."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    wanted = F.broadcast(picked[0].unionByName(picked[1]))
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted, "doc_id").where(F.length("text") <= SAMPLE_CHARS)
+    bounded = found.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(2 * sample)  # ids may repeat in docs
+    got = bounded.select("text", "toxic").coalesce(1).mapInArrow(_train, "hash long, weight double").collect()
     bias = next((r["weight"] for r in got if r["hash"] is None), 0.0)
     pairs = [(r["hash"], r["weight"]) for r in got if r["hash"] is not None]
     return Model(np.array([h for h, _ in pairs], np.int64).view(np.uint64), np.array([w for _, w in pairs], float), bias)
@@ -141,7 +144,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 3) != 1)
-    model = train(docs.where(remainder("doc_id", 3) != 1).join(labels, "doc_id"))
+    model = train(docs, labels)
     held_out = (remainder("doc_id", 3) == 1).alias("held_out")
     slim = docs.select("doc_id", F.col("text").alias("__dg_body"), held_out)
     scored = score(slim, model, "__dg_body").drop("__dg_body")
