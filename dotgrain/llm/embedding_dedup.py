@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .graph import components, tasks
+from .graph import components, lowest, tasks
 
-COSINE, RECALL, BUCKET, BLOCK = 0.93, 0.998, 128, 1024
+COSINE, RECALL, BUCKET, BLOCK = 0.93, 0.9995, 128, 1024
 CODE_BITS, BOUND = 256, 4.0
 
 
@@ -34,13 +34,17 @@ def rotation(dim: int, n: int, seed: int) -> np.ndarray:
 
 
 def bands(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """Bits a band, and bands."""
+    """Bits a band, and bands. Labels of up to BLOCK vectors are one bucket each."""
+    if largest <= BLOCK:
+        return 0, 1
     bits = max(1, math.ceil(math.log2(max(2, largest / BUCKET))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
 def band_codes(x: np.ndarray, bits: int, n: int) -> np.ndarray:
+    if not bits:
+        return np.zeros((len(x), n), np.int64)
     signs = (x @ rotation(x.shape[1], bits * n, 11) >= 0).reshape(len(x), n, bits)
     return (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2)
 
@@ -72,14 +76,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def compare(key: tuple, t: pa.Table, bits: int, n: int, cosine: float) -> pa.Table:
-    """One task: each vector's linked rows there, and the least key it links with."""
+    """One task: each vector's linked rows there, and the least key that it reaches by links there."""
     band, i, j = (k.as_py() for k in key[1:])
     keys, copies, side = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "copies", "side"))
     x = _unit(_matrix(t.column("embedding")))
     a, b = np.flatnonzero(side == 0), np.flatnonzero((side == 1) if i != j else (side == 0))
     turned, signs, factor = code(x)
     codes = band_codes(x, bits, n)[:, :band]
-    links, least = np.zeros(len(keys), np.int64), keys.copy()
+    links, pairs = np.zeros(len(keys), np.int64), []
     for at in range(0, len(a), 256):
         rows = a[at : at + 256]
         guess, bound = estimate(turned[rows].astype(np.float32), signs[b].astype(np.float32), factor[b])
@@ -96,9 +100,8 @@ def compare(key: tuple, t: pa.Table, bits: int, n: int, cosine: float) -> pa.Tab
                 u, v = u[first], v[first]
             np.add.at(links, u, copies[v])
             np.add.at(links, v, copies[u])
-            np.minimum.at(least, u, keys[v])
-            np.minimum.at(least, v, keys[u])
-    got = links > 0
+            pairs.append(np.stack([u, v]))
+    got, least = links > 0, lowest(keys, np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64))
     return pa.table({"key": pa.array(keys[got]), "links": pa.array(links[got]), "least": pa.array(least[got])})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,17 @@ def tasks(rows: DataFrame, block: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other"), "side": (F.col("__own") > F.col("__other")).cast("int")}).drop("__n", "__cut", "__own", "__other")
 
 
+def lowest(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each key of a task the least one that its pairs (two rows of places) lead to."""
+    out = keys.copy()
+    while True:
+        before = out.copy()
+        np.minimum.at(out, pairs[0], before[pairs[1]])
+        np.minimum.at(out, pairs[1], before[pairs[0]])
+        if (out == before).all():
+            return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the same for all nodes of a component) for the nodes of edges (a, b), whose numbers must be in
     random order, such as hashes.

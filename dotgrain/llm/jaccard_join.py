@@ -10,7 +10,7 @@ independent runs reach the wanted recall.
 In a node, signatures first rule out pairs that are far below the threshold (BOUND standard deviations); what is left
 is verified on the whole shingle sets. A pair is handled in one node only, the least that both visit, so links are
 counted without ever listing pairs: a task gives, for each class, the number of rows it links with and the least
-class it links with.
+class that it reaches.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import MASK64, grown, mix64, shingle_hashes, slices, stage, table, text_bytes, word_hashes
-from .graph import components, tasks
+from .graph import components, lowest, tasks
 
 WORDS, THRESHOLD = 5, 0.8
 SIGNATURE, RUNS, FIRST_DEPTH, DEPTH, SMALL = 64, 12, 2, 6, 64
@@ -172,7 +172,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
-    """Exact similarities of a task's pairs; for each linked class the rows it links with and the least class."""
+    """Exact similarities of a task's pairs; for each linked class the rows it links with and the least class that it
+    reaches by links there."""
     node, i, j = (k.as_py() for k in key)
     t = t.combine_chunks()
     sets = [np.frombuffer(b, np.uint64) for b in t.column("shingles").to_pylist()]
@@ -180,11 +181,10 @@ def verify(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     sizes = np.array([len(s) for s in sets], float)
     both = overlaps(sets)
     ok = (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & _pair_mask(t, node, i, j)
-    ok |= ok.T
-    links = ok @ copies
-    least = np.where(ok, keys[None, :], keys[:, None]).min(1)
+    least = lowest(keys, np.stack(np.nonzero(ok)))
+    links = (ok | ok.T) @ copies
     got = links > 0
-    return pa.table({"key": pa.array(keys[got]), "links": pa.array(links[got].astype(np.int64)), "least": pa.array(np.minimum(least, keys)[got])})
+    return pa.table({"key": pa.array(keys[got]), "links": pa.array(links[got].astype(np.int64)), "least": pa.array(least[got])})
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

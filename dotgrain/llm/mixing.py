@@ -92,7 +92,7 @@ def _pivotal(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
                 if held is not None:
                     before.append(released(u_held))
                 elif inside >= 0:
-                    open_rows[inside] = u_held
+                    open_rows[inside], out[inside] = u_held, p_held
                 held, inside, group = None, -1, g
             if x <= EPS or x >= 1 - EPS:
                 out[i] = float(x > 0.5)
