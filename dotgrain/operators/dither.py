@@ -42,35 +42,53 @@ def ordered(px: DataFrame, palette: Palette, name: str, strength: float = 1) ->
     return px.select("image_id", "x", "y", F.when(threshold(name, F.col("x"), F.col("y")) < t, F.col("__m.j")).otherwise(F.col("__a")).alias("idx"))
 
 
+_LINEAR = [v / 255 / 12.92 if v / 255 <= 0.04045 else ((v / 255 + 0.055) / 1.055) ** 2.4 for v in range(256)]
+
+
 def diffuse(rgb: np.ndarray, palette: Palette, kernel: str = "floydsteinberg", strength: float = 1, serpentine: bool = True, zones=None) -> np.ndarray:
-    """Indices of one picture (h, w, 3). zones: luma -> (first, stop) of the entries allowed."""
+    """Indices of one picture (h, w, 3). zones: luma -> (first, stop) of the entries allowed.
+
+    The scan is a chain, pixel by pixel, so it runs on plain numbers: arrays of three would cost more than they hold.
+    Only as many lines of errors are held as the kernel reaches.
+    """
     h, w, _ = rgb.shape
-    labs, colours = np.array([lab(c) for c in palette]), np.array(palette, float)
-    to_lms, to_lab = np.array(color.TO_LMS).T, np.array(color.TO_LAB).T
-    taps, total = KERNELS[kernel], TOTALS[kernel]
+    labs, colours_ = [lab(c) for c in palette], [tuple(map(float, c)) for c in palette]
+    (l0, l1, l2), (m0, m1, m2), (s0, s1, s2) = color.TO_LMS
+    (a0, a1, a2), (b0, b1, b2), (c0, c1, c2) = color.TO_LAB
+    total = TOTALS[kernel]
+    taps = [(dx, dy, weight / total) for dx, dy, weight in KERNELS[kernel]]
     reach = max(dy for _, dy, _ in taps) + 1
-    error = np.zeros((reach, w, 3), np.float32)
+    errors = [[[0.0, 0.0, 0.0] for _ in range(w)] for _ in range(reach)]
+    cbrt, every = math.cbrt, range(len(palette))
     out = np.zeros((h, w), np.int32)
     for y in range(h):
         forward = not serpentine or y % 2 == 0
         step = 1 if forward else -1
+        line, mine, chosen = rgb[y].tolist(), errors[0], [0] * w
         for x in range(w) if forward else range(w - 1, -1, -1):
-            p = np.clip(rgb[y, x] + error[0, x] * strength, 0, 255)
-            v = np.floor(p) / 255  # colours are matched by their bytes
-            linear = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
-            d = ((labs - np.cbrt(linear @ to_lms) @ to_lab) ** 2).sum(1)
-            if zones is not None:
-                a, b = zones(luma709(tuple(p)))
-                i = a + int(d[a:b].argmin())
-            else:
-                i = int(d.argmin())
-            out[y, x] = i
-            rest = p - colours[i]
+            (r, g, b), (er, eg, eb) = line[x], mine[x]
+            r, g, b = min(255.0, max(0.0, r + er * strength)), min(255.0, max(0.0, g + eg * strength)), min(255.0, max(0.0, b + eb * strength))
+            lr, lg, lb = _LINEAR[int(r)], _LINEAR[int(g)], _LINEAR[int(b)]  # colours are matched by their bytes
+            u, v, t = cbrt(l0 * lr + l1 * lg + l2 * lb), cbrt(m0 * lr + m1 * lg + m2 * lb), cbrt(s0 * lr + s1 * lg + s2 * lb)
+            light, p, q = a0 * u + a1 * v + a2 * t, b0 * u + b1 * v + b2 * t, c0 * u + c1 * v + c2 * t
+            best, least = 0, math.inf
+            for i in every if zones is None else range(*zones(luma709((r, g, b)))):
+                k = labs[i]
+                d = (light - k[0]) ** 2 + (p - k[1]) ** 2 + (q - k[2]) ** 2
+                if d < least:
+                    best, least = i, d
+            chosen[x] = best
+            k = colours_[best]
+            er, eg, eb = r - k[0], g - k[1], b - k[2]
             for dx, dy, weight in taps:
                 at = x + dx * step
-                if 0 <= at < w and y + dy < h:
-                    error[dy, at] += rest * (weight / total)
-        error = np.concatenate([error[1:], np.zeros((1, w, 3), np.float32)])
+                if 0 <= at < w:
+                    e = errors[dy][at]
+                    e[0] += er * weight
+                    e[1] += eg * weight
+                    e[2] += eb * weight
+        out[y] = chosen
+        errors = [*errors[1:], [[0.0, 0.0, 0.0] for _ in range(w)]]
     return out
 
 
