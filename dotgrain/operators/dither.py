@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import color
+from ..functions import color, tone
 from ..functions.kernels import KERNELS, TOTALS
 from ..functions.matrices import ORDERED
 from .palette import Palette, best_mix, lab, luma709, nearest
@@ -24,18 +25,52 @@ def threshold(name: str, x: Column, y: Column) -> Column:
     return F.element_at(F.array(*(F.lit(float(v)) for v in m.ravel())), (y % n * n + x % n + 1).cast("int"))
 
 
-def ordered(px: DataFrame, palette: Palette, name: str, strength: float = 1) -> DataFrame:
+@dataclass(frozen=True)
+class Zones:
+    """Palette ranges for shadows, middle tones and highlights, by luma."""
+
+    shadow: float
+    highlight: float
+    ranges: tuple[tuple[int, int], ...]
+
+    @classmethod
+    def make(cls, count: int, shadow: float, highlight: float) -> Zones | None:
+        bands = tone.zone_bands(count, shadow, highlight)
+        return cls(*sorted((shadow, highlight)), tuple(bands)) if bands else None
+
+    def __call__(self, v: float) -> tuple[int, int]:
+        return self.ranges[0 if v < self.shadow else 1 if v < self.highlight else 2]
+
+
+def ordered(px: DataFrame, palette: Palette, name: str, strength: float = 1, zones: Zones | None = None) -> DataFrame:
     """image_id, x, y, idx: the nearest entry, or its best partner where the threshold is below the partner's share."""
     rgb = (F.col("r"), F.col("g"), F.col("b"))
-    px = px.withColumn("__a", nearest(rgb, palette))
+    ranges = zones.ranges if zones else ((0, len(palette)),)
+    zone = F.lit(0)
+    if zones:
+        px = px.withColumn("__v", color.luma(rgb))
+        zone = F.when(F.col("__v") < zones.shadow, 0).when(F.col("__v") < zones.highlight, 1).otherwise(2)
+    px = px.withColumn("__z", zone)
+
+    def by_zone(made):
+        out = made(0, *ranges[0])
+        for k, r in enumerate(ranges[1:], 1):
+            out = F.when(F.col("__z") == k, made(k, *r)).otherwise(out)
+        return out
+
+    px = px.withColumn("__a", by_zone(lambda _, a, b: nearest(rgb, palette, a, b)))
     if name == "threshold":
         return px.select("image_id", "x", "y", F.col("__a").alias("idx"))
-    pair = None
-    for i in range(len(palette)):
-        j, t = best_mix(rgb, palette, i)
-        own = F.struct(j.alias("j"), t.alias("t"))
-        pair = F.when(F.col("__a") == i, own) if pair is None else pair.when(F.col("__a") == i, own)
-    px = px.withColumn("__m", pair)
+
+    def mixed(_: int, a: int, b: int) -> Column:
+        pair = None
+        for i in range(a, b):
+            j, t = best_mix(rgb, palette, i, a, b)
+            own = F.struct(j.alias("j"), t.alias("t"))
+            pair = F.when(F.col("__a") == i, own) if pair is None else pair.when(F.col("__a") == i, own)
+        return pair
+
+    px = px.withColumn("__m", by_zone(mixed))
     t = F.col("__m.t")
     if strength != 1:
         t = t + (F.when(t < 0.5, 0.0).otherwise(1.0) - t) * (1 - strength)
@@ -92,7 +127,7 @@ def diffuse(rgb: np.ndarray, palette: Palette, kernel: str = "floydsteinberg", s
     return out
 
 
-def diffusion(px: DataFrame, palette: Palette, kernel: str = "floydsteinberg", strength: float = 1, serpentine: bool = True) -> DataFrame:
+def diffusion(px: DataFrame, palette: Palette, kernel: str = "floydsteinberg", strength: float = 1, serpentine: bool = True, zones: Zones | None = None) -> DataFrame:
     """Error diffusion of each image. A scan can't be cut, so an image is one task; many images run side by side.
     Every pixel of the rectangle from 0, 0 must be there."""
 
@@ -100,17 +135,17 @@ def diffusion(px: DataFrame, palette: Palette, kernel: str = "floydsteinberg", s
         x, y = (np.asarray(t.column(c).combine_chunks()) for c in "xy")
         picture = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3))
         picture[y, x] = np.stack([np.asarray(t.column(c).combine_chunks()) for c in "rgb"], 1)
-        idx = diffuse(picture, palette, kernel, strength, serpentine)
+        idx = diffuse(picture, palette, kernel, strength, serpentine, zones)
         return pa.table({"image_id": pa.array([key[0].as_py()] * len(x), pa.string()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "idx": pa.array(idx[y, x], pa.int32())})
 
     return px.select("image_id", "x", "y", "r", "g", "b").groupBy("image_id").applyInArrow(run, INDEX)
 
 
-def dither(px: DataFrame, palette: Palette, name: str = "floydsteinberg", strength: float = 1, serpentine: bool = True) -> DataFrame:
+def dither(px: DataFrame, palette: Palette, name: str = "floydsteinberg", strength: float = 1, serpentine: bool = True, zones: Zones | None = None) -> DataFrame:
     """By any of the 24 algorithms; unknown names count as floydsteinberg."""
     if name in ORDERED:
-        return ordered(px, palette, name, strength)
-    return diffusion(px, palette, name if name in KERNELS else "floydsteinberg", strength, serpentine)
+        return ordered(px, palette, name, strength, zones)
+    return diffusion(px, palette, name if name in KERNELS else "floydsteinberg", strength, serpentine, zones)
 
 
 def expand(index: DataFrame, w: int, h: int, ow: int, oh: int, view: tuple[int, int, int, int] | None = None) -> DataFrame:

@@ -37,12 +37,13 @@ def nearest(rgb: color.RGB, palette: Palette, start: int = 0, stop: int | None =
     return (F.least(*entries) if len(entries) > 1 else entries[0])["i"]
 
 
-def best_mix(rgb: color.RGB, palette: Palette, entry: int) -> tuple[Column, Column]:
-    """The other entry on whose line to this one the colour lies nearest, and how far along; the entry and 0 if none."""
+def best_mix(rgb: color.RGB, palette: Palette, entry: int, start: int = 0, stop: int | None = None) -> tuple[Column, Column]:
+    """The other entry (of a range) on whose line to this one the colour lies nearest, and how far along; the entry
+    and 0 if none."""
     a = palette[entry]
     p = [c - v for c, v in zip(rgb, a, strict=True)]
     found = []
-    for j, b in enumerate(palette):
+    for j, b in list(enumerate(palette))[start:stop]:
         d = [float(v - u) for u, v in zip(a, b, strict=True)]
         if j == entry or (n := sum(v * v for v in d)) < 1e-6:
             continue
