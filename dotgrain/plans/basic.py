@@ -127,8 +127,8 @@ def histogram(spark, sf_dir):
 f AS (SELECT i AS bucket, coalesce(n, 0)::BIGINT AS n FROM range(64) t(i) LEFT JOIN c ON c.bucket = i) SELECT bucket, round(sqrt(n / max(n) OVER ()::DOUBLE), 6) AS bar FROM f""")
 def histogram_bars(spark, sf_dir):
     h = cells.histogram(images.events_image(spark, sf_dir))
-    top = h.agg(F.max("n").alias("top"))
-    return h.crossJoin(F.broadcast(top)).select("bucket", six(F.sqrt(F.col("n") / F.col("top"))).alias("bar"))
+    top = F.max("n").over(Window.partitionBy(F.lit(0)))  # as many rows as bins
+    return h.select("bucket", six(F.sqrt(F.col("n") / top)).alias("bar"))
 
 
 @query(f"""WITH {sql.PX}, {sql.grid(DENSITY)}, {sql.in_cells()}, {sql.CELLS},
