@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,9 +63,24 @@ def remainder(doc_id: str, k: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % k
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: freed memory stays with the process
+    _LIBC = None
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system. Python workers stay for later stages, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about max_bytes of the column's text (one row at least)."""
-    for batch in batches:
+    for n, batch in enumerate(batches):
+        if n % 8 == 7:
+            tidy()
         if batch.num_rows == 0:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
@@ -75,6 +91,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             stop = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch
+    tidy()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MASK64, grown, mix64, shingle_hashes, slices, stage, table, text_bytes, word_hashes
+from .common import MASK64, grown, mix64, shingle_hashes, slices, stage, table, text_bytes, tidy, word_hashes
 from .graph import components, lowest, tasks
 
 WORDS, THRESHOLD = 5, 0.8
@@ -148,6 +148,9 @@ def candidates(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     fits = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
     ok = (alike >= least) & fits & _pair_mask(t, node, i, j)
     got = ok.any(0) | ok.any(1)
+    if m > 256:
+        del alike, fits, ok
+        tidy()
     return t.select(_TOLD.names).filter(pa.array(got)).cast(_TOLD)
 
 
@@ -184,6 +187,9 @@ def verify(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     least = lowest(keys, np.stack(np.nonzero(ok)))
     links = (ok | ok.T) @ copies
     got = links > 0
+    if len(keys) > 256:
+        del both, ok
+        tidy()
     return pa.table({"key": pa.array(keys[got]), "links": pa.array(links[got].astype(np.int64)), "least": pa.array(least[got])})
 
 
