@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grown, slices, table
+from .common import grown, kept, slices, table
 
 LONG_TEXT, MOST_STATES, MOST_PIECES = 1 << 20, 200_000, 80_000
 
@@ -229,23 +229,22 @@ def decode_stream(ids: Iterable[int], tokens: list[bytes | None], block: int = 6
     yield machine.end()
 
 
-_MADE: dict = {}
-
-
 def _encoder(path: str, pattern: str) -> Encoder:
-    if ("e", path, pattern) not in _MADE:
-        _MADE["e", path, pattern] = Encoder(path, pattern)
-    return _MADE["e", path, pattern]
+    made = kept("bpe")
+    if ("e", path, pattern) not in made:
+        made["e", path, pattern] = Encoder(path, pattern)
+    return made["e", path, pattern]
 
 
 def _tokens(path: str) -> list[bytes | None]:
-    if ("t", path) not in _MADE:
+    made = kept("bpe")
+    if ("t", path) not in made:
         ranks = load_ranks(path)
         out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             out[v] = k
-        _MADE["t", path] = out
-    return _MADE["t", path]
+        made["t", path] = out
+    return made["t", path]
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -261,7 +260,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         encoder, tokens = _encoder(path, pattern), _tokens(path) if decoded else []
-        for batch in slices(batches, "__dg_text"):
+        for batch in slices(batches, "__dg_text", owner="bpe"):
             found = [encoder(t) if t else np.zeros(0, np.int32) for t in batch.column("__dg_text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))

@@ -76,8 +76,21 @@ def tidy() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one slice holds about max_bytes of the column's text (one row at least)."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. Workers are shared by all stages, so other
+    operators' things go."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one slice holds about max_bytes of the column's text (one row at least). owner: whose
+    things the worker keeps meanwhile."""
+    kept(owner)
     for n, batch in enumerate(batches):
         if n % 8 == 7:
             tidy()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import kept, stage, table, tidy
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -67,6 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def _pivotal(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by __g. Of each group all rows but at most one become integral; __p and __open tell. last: that
     one is rounded, too. One row of the group before is held, no more."""
+    kept("mixing")  # nothing: what other stages left in this worker goes
+    tidy()
     held: pa.RecordBatch | None = None  # the fractional document, not yet given out
     group, p_held, size_held = None, 0.0, 0.0
 
@@ -130,6 +132,7 @@ def _pivotal(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.Recor
         yield done if keep.all() else done.filter(pa.array(keep))
     if held is not None:
         yield released(u_held)
+    tidy()
 
 
 def dependent_rounding(units: DataFrame, group: Column, p: Column, size: Column, identity: Column, largest: int, seed: int = 0) -> DataFrame:
