@@ -151,6 +151,33 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeats(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_pairs_others_than_the_least(spark):
+    r = random.Random(31)
+    rows = []
+    for _ in range(20):
+        passage = words(r, 54)
+        variant = list(passage)
+        for at in (6, 20, 34, 48):  # similar to the passage, but far below the threshold
+            variant[at] = "edit" + str(at)
+        for own in (variant, variant, passage, passage):
+            rows.append((len(rows), " ".join(words(r, 60) + own + words(r, 60))))
+    got = substring_dedup.repeats(docs(spark, rows)).select("doc_id", "other_id").distinct().collect()
+    pairs = {tuple(sorted(g)) for g in got}
+    assert pairs == {p for k in range(0, 80, 4) for p in ((k, k + 1), (k + 2, k + 3))}
+
+
+def test_group_links_compare_what_a_leader_leaves():
+    r = np.random.default_rng(3)
+    base = r.permutation(5000)[:200].astype(np.uint32)
+    ids = [base[:60], base[:90], base[:90]]  # the first lacks the last 30
+    left = [np.ones(len(i), bool) for i in ids]
+    got = substring_dedup.group_links(np.array([1, 2, 3]), ids, [i.astype(np.int64) for i in ids], left, 46, 0.8)
+    assert got == [(0, 1), (0, 2), (1, 2)]
+    same = [base[:60]] * 5
+    got = substring_dedup.group_links(np.arange(5), same, [i.astype(np.int64) for i in same], [np.ones(60, bool) for _ in same], 46, 0.8)
+    assert got == [(0, q) for q in range(1, 5)]
+
+
 def test_compact_windows_are_the_tree_nodes():
     r = np.random.default_rng(4)
     h = r.integers(0, 1 << 60, 300).astype(np.uint64)
