@@ -178,6 +178,28 @@ def test_group_links_compare_what_a_leader_leaves():
     assert got == [(0, q) for q in range(1, 5)]
 
 
+def test_align_follows_diagonals():
+    r = random.Random(41)
+
+    def hashed(w):
+        return np.array([zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(len(w) - 4)], np.uint64)
+
+    passage, phrase = words(r, 80), words(r, 6)
+    passage[10:16] = passage[45:51] = phrase
+    x, y = words(r, 30) + passage + words(r, 30), words(r, 50) + passage + words(r, 9)
+    assert [m[:4] for m in substring_dedup.align(hashed(x), hashed(y), 46, 0.8)] == [(30, 105, 50, 125)]
+    early = words(r, 20) + passage[20:27] + words(r, 40) + passage[:60]  # one of its phrases also stands before
+    assert [m[:4] for m in substring_dedup.align(hashed(passage[:60]), hashed(early), 46, 0.8)] == [(0, 55, 67, 122)]
+    twice = passage + words(r, 40) + passage
+    assert [m[:4] for m in substring_dedup.align(hashed(passage), hashed(twice), 46, 0.8)] == [(0, 75, 0, 75), (0, 75, 120, 195)]
+    few = np.array([r.randrange(2) for _ in range(600)], np.uint64)  # very many runs
+    planted = np.arange(9, 69, dtype=np.uint64)
+    found = substring_dedup.align(np.concatenate([few, planted]), np.concatenate([planted, few[::-1]]), 46, 0.8)
+    assert any(p <= 600 and q >= 659 and u == 0 and v >= 59 for p, q, u, v, _ in found)
+    one = np.zeros(4000, np.uint64)
+    assert substring_dedup.align(one, one, 46, 0.8) == [(0, 3999, 0, 3999, 1.0)]
+
+
 def test_compact_windows_are_the_tree_nodes():
     r = np.random.default_rng(4)
     h = r.integers(0, 1 << 60, 300).astype(np.uint64)
