@@ -178,6 +178,17 @@ def test_group_links_compare_what_a_leader_leaves():
     assert got == [(0, q) for q in range(1, 5)]
 
 
+def test_substring_dedup_recall_by_pair(spark):
+    r, rows = random.Random(51), []
+    for k in range(300):
+        passage = words(r, 50)
+        near = list(passage)
+        near[r.randrange(8, 42)] = "edit" + str(k)
+        rows += [(2 * k + i, " ".join(words(r, 30) + own + words(r, 30))) for i, own in enumerate((passage, near))]
+    got = substring_dedup.repeats(docs(spark, rows)).collect()
+    assert len({g.doc_id // 2 for g in got if g.doc_id // 2 == g.other_id // 2}) >= 296
+
+
 def test_align_follows_diagonals():
     r = random.Random(41)
 
