@@ -5,7 +5,8 @@ with all classes in one node; a node samples coordinates of the signature, each
 and sends a class to one child for each sampled coordinate, named by the value there: so classes meet in a child if
 they share the sampled token. Two classes at the threshold share one child on average at every depth, while dissimilar
 ones soon share none. Nodes of up to SMALL classes are brute-forced; larger ones split further, to DEPTH. RUNS
-independent runs reach the wanted recall.
+independent runs reach RECALL at the threshold for pairs that share a node of up to SMALL classes at FIRST_DEPTH. All
+others share larger nodes there: the classes in those take part in as many further runs as RECALL needs at DEPTH.
 
 In a node, signatures first rule out pairs that are far below the threshold (BOUND standard deviations); what is left
 is verified on the whole shingle sets. A pair is handled in one node only, the least that both visit, so links are
@@ -32,6 +33,7 @@ from .graph import components, lowest, tasks
 WORDS, THRESHOLD = 5, 0.8
 SIGNATURE, RUNS, FIRST_DEPTH, DEPTH, SMALL = 64, 12, 2, 6, 64
 BOUND = 4.0
+RECALL = 0.999  # of pairs at the threshold
 BLOCK = 1024
 _MULT = mix64(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix64(np.arange(9001, 9001 + SIGNATURE, dtype=np.uint64))
@@ -83,14 +85,38 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
 
 
-def first_nodes(batches: Iterator[pa.RecordBatch], threshold: float, runs: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """Of each class the nodes at the first depth that is looked at, in all runs."""
+def _least(threshold: float) -> int:
+    return math.floor(SIGNATURE * threshold - BOUND * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
+
+
+def recall(threshold: float, runs: int, depth: int) -> float:
+    """The chance that a pair at the threshold shares a node at this depth in some run, and isn't ruled out by its
+    signatures: over the number of coordinates in which they agree, as each is sampled on its own in every node."""
+    total, p = 0.0, min(1.0, 1 / (SIGNATURE * threshold))
+    for alike in range(_least(threshold), SIGNATURE + 1):
+        met = 1.0
+        for _ in range(depth):
+            met = 1 - (1 - p * met) ** alike
+        total += math.comb(SIGNATURE, alike) * threshold**alike * (1 - threshold) ** (SIGNATURE - alike) * (1 - (1 - met) ** runs)
+    return total
+
+
+def runs_for(threshold: float, depth: int, wanted: float = RECALL) -> int:
+    wanted = min(wanted, recall(threshold, 1 << 20, depth) - 1e-6)  # what signatures rule out, no run brings back
+    runs = 1
+    while recall(threshold, runs, depth) < wanted:
+        runs += 1
+    return runs
+
+
+def first_nodes(batches: Iterator[pa.RecordBatch], threshold: float, runs: int, depth: int, done: int = 0) -> Iterator[pa.RecordBatch]:
+    """Of each class the nodes at the first depth that is looked at, in `runs` runs after those done."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sigs, keys = _sigs(batch.column("sig")), np.asarray(batch.column("key"))
         of = np.tile(np.arange(len(keys)), runs)
-        paths = np.repeat(mix64(np.arange(1, runs + 1, dtype=np.uint64)), len(keys))
+        paths = np.repeat(mix64(np.arange(done + 1, done + runs + 1, dtype=np.uint64)), len(keys))
         for _ in range(depth):
             row, paths = _children(paths, sigs[of], threshold)
             of = of[row]
@@ -140,7 +166,7 @@ def candidates(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     node, i, j = (k.as_py() for k in key)
     t = t.combine_chunks()
     sigs, m = _sigs(t.column("sig").combine_chunks()), t.num_rows
-    least = math.floor(SIGNATURE * threshold - BOUND * math.sqrt(SIGNATURE * threshold * (1 - threshold)))
+    least = _least(threshold)
     sizes = np.asarray(t.column("size")).astype(float)
     alike = np.zeros((m, m), np.uint8)
     for k in range(SIGNATURE):
@@ -226,6 +252,14 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
             large = stage(met.where(F.col("n") > SMALL).select("key", "bucket"), "large")
             if large.isEmpty():
                 break
+            if depth == FIRST_DEPTH and (more := runs_for(threshold, DEPTH) - runs) > 0:
+                crowded = sigs.join(large.select("key").distinct(), "key", "left_semi")
+                further = crowded.mapInArrow(lambda it: first_nodes(it, threshold, more, FIRST_DEPTH, runs), "key long, bucket long")
+                further = stage(further.distinct(), "further")
+                sizes = further.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                further = further.join(sizes, "bucket")
+                leaves.append(further.where(F.col("n") <= SMALL).select("key", "bucket"))
+                large = large.unionByName(further.where(F.col("n") > SMALL).select("key", "bucket"))
             level = large.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")
     nodes = leaves[0]
     for more in leaves[1:]:

@@ -79,6 +79,20 @@ def test_jaccard_join(spark, monkeypatch):
     assert sorted(map(tuple, got), key=KEY) == want
 
 
+def test_jaccard_recall_in_deep_nodes(spark, monkeypatch):
+    assert jaccard_join.recall(0.8, jaccard_join.RUNS, jaccard_join.FIRST_DEPTH) >= jaccard_join.RECALL
+    assert jaccard_join.recall(0.8, jaccard_join.runs_for(0.8, jaccard_join.DEPTH), jaccard_join.DEPTH) >= jaccard_join.RECALL
+    r, rows = random.Random(61), []
+    for k in range(400):
+        base = words(r, 54)  # 50 shingles; five others make a similarity of 45 / 55
+        near = list(base)
+        near[r.randrange(8, 46)] = "changed" + str(k)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)  # all nodes are split to the last depth
+    got = jaccard_join.link(docs(spark, rows)).where("n_links > 0").count()
+    assert got >= 2 * 397
+
+
 def test_jaccard_keep_one(spark):
     rows = near_rows()
     kept = jaccard_join.keep_one(docs(spark, rows).withColumns({"key": F.lit(1), "class_id": F.lit("x")}))
