@@ -57,7 +57,7 @@ def test_stages(spark, corpus, tmp_path):
     texts = {x.doc_id: x.text for x in seen["mixing"]}
     assert len(seen["bpe"]) == len(seen["mixing"])
     for x in seen["bpe"]:
-        assert x.decodes and x.n_tokens == len(x.ids) and x.ids == coder(texts[x.doc_id]).tolist()
+        assert x.decodes and x.n_tokens == len(x.ids) and x.ids == coder([texts[x.doc_id]])[0].tolist()
 
 
 def test_run_and_empty(spark, corpus, tmp_path):

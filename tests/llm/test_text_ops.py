@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,8 +59,6 @@ def test_line_dedup_extra_columns_and_empty(spark):
 
 
 def test_perfect_hash():
-    import numpy as np
-
     r = np.random.default_rng(1)
     a, b = r.integers(-(2**63), 2**63 - 1, (2, 5000))
     mph = line_dedup.PerfectHash.build(a, b)
@@ -160,8 +159,27 @@ def test_bpe_round_trip_and_reference(spark):
     back = bpe.decode(ids.withColumnRenamed("text", "given"), path)
     for x in back.collect():
         assert x.text == (x.given or "")
-        if x.doc_id != 902:
-            assert x.ids == own.encode_ordinary(x.given or "")
+        assert x.ids == own.encode_ordinary(x.given or "")
+
+
+def test_bpe_of_an_empty_table_and_long_random_pieces(spark):
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    assert bpe.encode(docs(spark, []), path, pattern, decoded="said").count() == 0
+    own, r = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={}), random.Random(9)
+    texts = ["".join(chr(r.choice([97, 98, 99, 233, 0x4E00, 115, 116, 101])) for _ in range(4000)), "ab" * 1500]
+    assert [x.tolist() for x in bpe.Encoder(path, pattern)(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_narrow_pattern():
+    path, pattern = bpe.default_vocabulary()
+    quick, r = bpe.narrow(pattern), random.Random(5)
+    full = bpe.regex.compile(pattern)
+    for _ in range(3000):
+        text = "".join(chr(r.choice([r.randrange(0x80), r.randrange(0x250), r.randrange(bpe.NARROW), 32, 10, 39, 0x1C])) for _ in range(r.randrange(40)))
+        assert quick.findall(text) == full.findall(text)
+    assert bpe.narrow(r"(?i:'s)|\S+") is None and bpe.narrow(r"[\S]") is None and bpe.narrow(r"\p{Lu}") is None
 
 
 def test_op3_query(spark, tmp_path):
@@ -169,22 +187,34 @@ def test_op3_query(spark, tmp_path):
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     path, pattern = bpe.default_vocabulary()
     encoder, sha = bpe.Encoder(path, pattern), lambda s: hashlib.sha256(s.encode()).hexdigest()
-    want = sorted((i, len(ids := encoder(t or "").tolist()), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in rows)
+    want = sorted((i, len(ids := encoder([t or ""])[0].tolist()), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in rows)
     assert sorted(map(tuple, bpe.op3_bpe(spark, str(tmp_path)).collect())) == want
 
 
 def test_bpe_pairs_and_small_memory(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_STATES", 50)
-    monkeypatch.setattr(bpe, "MOST_PIECES", 10)
+    monkeypatch.setattr(bpe, "MOST_MOVES", 50)
+    monkeypatch.setattr(bpe, "AHEAD", 20)
     ranks = bpe.load_ranks(bpe.default_vocabulary()[0])
     machine, r = bpe.Transducer(ranks), random.Random(6)
-    for _ in range(500):
-        piece = bytes(r.choice(b"theraionsd g") for _ in range(r.randrange(1, 30)))
-        assert machine.encode(piece) == bpe.merge(piece, ranks)
+    for _ in range(50):
+        pieces = [bytes(r.choice(b"theraionsd g") for _ in range(r.randrange(1, 60))) for _ in range(10)]
+        assert [np.frombuffer(x, np.int32).tolist() for x in machine.encode(pieces)] == [bpe.merge(p, ranks) for p in pieces]
     tokens = list(ranks.items())
-    for _ in range(2000):
-        (a, x), (b, y) = r.choice(tokens), r.choice(tokens)
-        assert machine.may_follow(x, y) == (bpe.merge(a + b, ranks) == [x, y])
+    pairs = [(r.choice(tokens), r.choice(tokens)) for _ in range(2000)]
+    x, y = (np.array([p[k][1] for p in pairs]) for k in (0, 1))
+    every = np.unique(np.concatenate([x, y]))
+    machine._learn(every[machine.left_of[every] < 0])
+    said = machine.may_follow(machine.class_of[x], y)
+    for ((a, i), (b, j)), ok in zip(pairs, said, strict=True):
+        assert ok == (bpe.merge(a + b, ranks) == [i, j])
+
+
+def test_bpe_table():
+    r = np.random.default_rng(2)
+    keys, table = np.unique(r.integers(0, 1 << 62, 30_000)), bpe.Table()
+    for part in np.array_split(keys, 7):
+        table.add(part, part % 1000)
+    assert (table.find(keys) == keys % 1000).all() and (table.find(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
 
 
 def test_utf8_stream():
