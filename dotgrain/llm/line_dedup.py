@@ -7,7 +7,7 @@ counts and keepers. Documents probe these arrays; no line is joined with a docum
 
 The heaviest MAX_BROADCAST_KEYS keys' shards are broadcast (28 bytes a key, so at most 56 MB); by the pigeonhole
 principle any other key holds less than 1 / MAX_BROADCAST_KEYS of all lines, so the others' probes can be dealt
-out by shard without skew and meet the arrays there.
+out by shard without skew and meet the arrays there; lines of the broadcast keys aren't among these probes.
 """
 
 from __future__ import annotations
@@ -102,6 +102,10 @@ class Shard:
         for own, given in ((self.fingerprint, b), (self.n, n), (self.keeper, keeper), (self.has_keeper, has_keeper)):
             own[at] = given
 
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = self.mph.index(a, b)
+        return (at >= 0) & (self.fingerprint[np.maximum(at, 0)] == b)
+
     def drops(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, has_doc: np.ndarray) -> np.ndarray:
         """Which lines go, by their hashes and their document's id."""
         at = self.mph.index(a, b)
@@ -116,8 +120,8 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)).astype(np.int64), valid
 
 
-def line_rows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct long line of a document: two hashes and the id."""
+def line_rows(batches: Iterator[pa.RecordBatch], min_chars: int, known: Index | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct long line of a document, but those in `known`: two hashes and the id."""
     for batch in slices(batches, "text"):
         ids, valid = _ids(batch.column("doc_id"))
         a, b, of = [], [], []
@@ -128,14 +132,19 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.
                 a.append(h[0])
                 b.append(h[1])
                 of.append(i)
-        at = np.asarray(of, np.int64)
+        a, b, at = (np.asarray(x, np.int64) for x in (a, b, of))
+        if known is not None and len(a):
+            rest = ~known.holds(a, b)
+            a, b, at = a[rest], b[rest], at[rest]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ids[at], pa.int64(), mask=~valid[at])], ["a", "b", "doc_id"])
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """a, b (the key's hashes), n (documents, that is rows, that hold it), keeper (largest doc_id)."""
+    """a, b (the key's hashes), n (distinct doc_id that hold it; rows without one are one document), keeper (largest
+    doc_id). A key of many documents is counted by parts before it meets in one task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: line_rows(it, min_chars), "a long, b long, doc_id long")
-    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    once = rows.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
+    return once.groupBy("a", "b").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
 
 
 def _shard_bytes(key: tuple, t: pa.Table) -> pa.Table:
@@ -166,7 +175,7 @@ class Index:
     def __setstate__(self, state):
         (self.data, self.n_shards), self.shards = state, None
 
-    def drops(self, a, b, doc, has_doc) -> np.ndarray:
+    def _ask(self, what: str, a: np.ndarray, *more: np.ndarray) -> np.ndarray:
         import pickle
 
         if self.shards is None:
@@ -175,9 +184,15 @@ class Index:
         for k in np.unique(of):
             if (shard := self.shards.get(int(k))) is not None:
                 m = of == k
-                out[m] = shard.drops(a[m], b[m], doc[m], has_doc[m])
+                out[m] = getattr(shard, what)(a[m], *(x[m] for x in more))
         return out
 
+    def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._ask("holds", a, b)
+
+    def drops(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, has_doc: np.ndarray) -> np.ndarray:
+        return self._ask("drops", a, b, doc, has_doc)
+
 
 def _probe(batches: Iterator[pa.RecordBatch], index: Index, min_chars: int, extra: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "__dg_text"):
@@ -232,9 +247,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """docs (doc_id, text, any others) with text replaced by what is kept, plus n_lines and n_dropped.
 
     A line's key is the line without white space ([\\x20\\x09-\\x0D]) at its ends, A-Z in lower case. Keys of at
-    least min_chars code points that at least min_docs rows hold lose all their lines, but for those of the
-    largest doc_id that holds them. A null or empty text is one empty line and stays as it is. A row is a
-    document: repeated rows count each, and rows that share the keeper's doc_id all keep their line; a null
+    least min_chars code points that at least min_docs documents hold lose all their lines, but for those of the
+    largest doc_id that holds them. A null or empty text is one empty line and stays as it is. Rows with one doc_id
+    count as one document, those without one, too; rows that share the keeper's doc_id all keep their line; a null
     doc_id is less than any other. Columns named n_lines or n_dropped give way to the new ones. only_needed: return doc_id, n_lines, n_dropped and text only.
     """
     spark = docs.sparkSession
@@ -252,7 +267,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lined = docs.select(*(F.col(f"`{c}`") for c in names if c != "text"), F.col("doc_id").cast("long").alias("__dg_id"), F.col("text").cast("string").alias("__dg_text"))
     if rest is not None:
         shards = max(1, -(-total // shard_keys))
-        probes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: line_rows(it, min_chars), "a long, b long, doc_id long")
+        probes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: line_rows(it, min_chars, index), "a long, b long, doc_id long")
         of = F.pmod(F.col("a"), F.lit(shards)).alias("shard")
         gone = probes.select("a", "b", "doc_id", of).groupBy("shard").cogroup(rest.select("a", "b", "n", "keeper", of).groupBy("shard")).applyInArrow(_route, "doc_id long, line string")
         gone = gone.groupBy(F.col("doc_id").alias("__dg_gone")).agg(F.collect_set("line").alias("__dg_more"))
@@ -278,6 +293,8 @@ def _edge(by_n: DataFrame, most: int) -> int:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a row of documents, as dedup_lines says; of a null or empty text one line, none dropped and the digest
+    of an empty string. An empty table gives no rows. Columns but doc_id and text aren't read."""
     out = dedup_lines(table(spark, sf_dir, "documents"), only_needed=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

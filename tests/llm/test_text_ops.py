@@ -22,7 +22,7 @@ def plain_dedup(rows, min_chars=40, min_docs=5):
     holders = {}
     for n, (doc_id, text) in enumerate(rows):
         for k in {line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)}) for line in (text or "").split("\n")}:
-            holders.setdefault(k, []).append((doc_id is not None, doc_id or 0))
+            holders.setdefault(k, set()).add((doc_id is not None, doc_id or 0))
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
@@ -58,6 +58,35 @@ def test_line_dedup_extra_columns_and_empty(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Five rows hold the line, but two documents."""
+    rows = [(1, LONG)] * 3 + [(2, LONG)] * 2
+    assert {x.n_dropped for x in line_dedup.dedup_lines(docs(spark, rows)).collect()} == {0}
+
+
+def test_line_dedup_deals_no_lines_that_are_broadcast(spark):
+    """The commonest line goes to the index; only lines of other keys are dealt to shards."""
+    rows = [(i, LONG + "\n" + LONG + str(i % 40)) for i in range(400)]
+    keys = line_dedup.repeated_lines(docs(spark, rows)).orderBy(F.desc("n")).collect()
+    hot = spark.createDataFrame([tuple(keys[0])], "a long, b long, n long, keeper long")
+    index = line_dedup.Index(spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in line_dedup.shard_table(hot, 1).collect()}), 1)
+    dealt = docs(spark, rows).mapInArrow(lambda it: line_dedup.line_rows(it, 40, index), "a long, b long, doc_id long").groupBy("a", "b").count().collect()
+    assert keys[0]["n"] == 400 and max(x["count"] for x in dealt) == 10
+    want = sorted(plain_dedup(rows))
+    got = line_dedup.dedup_lines(docs(spark, rows), max_broadcast_keys=4).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_op7_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [x for x in line_rows() if x[0] is not None]
+    rows = [x for n, x in enumerate(rows) if x[0] not in {y[0] for y in rows[:n]}]
+    docs(spark, rows).withColumns({"n_lines": F.lit("mine"), "a": F.lit(1)}).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(line_dedup.OP7_SQL).fetchall()
+    assert sorted(map(tuple, line_dedup.op7_line_dedup(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_perfect_hash():
     r = np.random.default_rng(1)
     a, b = r.integers(-(2**63), 2**63 - 1, (2, 5000))
