@@ -8,11 +8,11 @@ lookups by byte pairs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +20,12 @@ from pyspark.sql import types as T
 from .common import grown, remainder, slices, table, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Bounds of the sample that is learned from: texts a language, windows a text, languages.
-PER_LANGUAGE, PER_TEXT, MOST_LANGUAGES = 600, 2, 64
+#: Bounds of the sample that is learned from: distinct texts a language, windows a text, languages.
+PER_LANGUAGE, PER_TEXT, MOST_LANGUAGES = 600, 2, 256
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PAD = max(WIDTHS) - 1
@@ -136,16 +137,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame) -> Network | None:
     """labelled: text, lang. Rows with a null lang or no letter in the text aren't learned from. Of each of the
-    MOST_LANGUAGES most frequent languages about PER_LANGUAGE rows are, those of the least hashes. None: no such rows."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = labelled.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    MOST_LANGUAGES languages with most texts about PER_LANGUAGE distinct texts are, those of the least hashes: copies
+    count once. Ties in number go by the language's name, texts alike in hash count as copies. Only windows of the
+    texts leave their tasks. None: no such rows."""
+    most = (1 << 62) - 1
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("text", "lang")
+    hashed = usable.withColumn("h", F.xxhash64("text", "lang").bitwiseAND(F.lit(most)))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    spark, most = labelled.sparkSession, (1 << 63) - 1
-    limits = spark.createDataFrame([(r["lang"], min(most, 2 * PER_LANGUAGE * most // r["count"])) for r in counts], "lang string, most long")
-    hashed = usable.withColumn("h", F.xxhash64("text", "lang").bitwiseAND(F.lit(most)))
-    picked = hashed.join(F.broadcast(limits), "lang").where("h <= most").select("h", "lang", "text").orderBy("h", "lang", "text").limit(2 * PER_LANGUAGE * len(counts))
-    rows = picked.coalesce(1).mapInArrow(_sampled, "h long, lang string, windows array<binary>").collect()
+    spark = labelled.sparkSession
+    limits = spark.createDataFrame([(r["lang"], min(most, 5 * PER_LANGUAGE * most // (4 * max(1, r["n"])))) for r in counts], "lang string, most long")
+    picked = hashed.join(F.broadcast(limits), "lang").where("h <= most").select("h", "lang", "text")
+    windows = picked.mapInArrow(_sampled, "h long, lang string, windows array<binary>").groupBy("h", "lang").agg(F.first("windows").alias("windows"))
+    rows = windows.orderBy("h", "lang").limit(2 * PER_LANGUAGE * len(counts)).collect()
     by: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["h"], r["lang"])):
         if len(own := by.setdefault(r["lang"], [])) < PER_LANGUAGE * PER_TEXT:
@@ -181,6 +186,9 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a row of documents, each scored alone: a null text or one without a letter is "und" with score 0, ties
+    between languages go to the first by name, a null doc_id counts as empty text for held_out. An empty table gives
+    no rows. Columns but doc_id, text and, for learning, lang aren't read."""
     docs = table(spark, sf_dir, "documents")
     net = train(docs.where(remainder("doc_id", 4) != 2).select("text", "lang"))
     said = identify(docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").alias("__dg_body")), net, "__dg_body")
