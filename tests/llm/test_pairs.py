@@ -290,6 +290,30 @@ def test_mixing(spark, monkeypatch, group):
     assert mixing.mix(df.limit(0), F.col("size")).count() == 0
 
 
+def test_mixing_settles_with_short_documents(spark):
+    """Log-normal sizes in sources of 60 to 3,000 documents: each comes nearer to its target than 1 % or its shortest."""
+    r = np.random.default_rng(8)
+    rows = [(int(i), f"s{k:02d}", int(v)) for k in range(12) for i, v in enumerate(np.exp(r.normal(6, 1.2, (60, 400, 3000)[k % 3])) + 1)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), F.col("size")).collect()
+    taken, target = defaultdict(int), {x.source: x.target for x in out}
+    for x in out:
+        assert x.copies <= 2
+        taken[x.source] += x.copies * x["size"]
+    for s in target:
+        shortest = min(n for _, t, n in rows if t == s)
+        assert abs(taken[s] - target[s]) <= max(shortest, 0.01 * target[s]), s
+
+
+def test_settled_groups():
+    r = random.Random(3)
+    for _ in range(300):
+        sizes = sorted((int(r.lognormvariate(6, 1.2)) + 1 for _ in range(60)), reverse=True)
+        p = [r.random() for _ in sizes]
+        out = mixing.settled(p, [float(s) for s in sizes], [r.random() for _ in sizes])
+        assert set(out) <= {0.0, 1.0}
+        assert abs(sum(a * s for a, s in zip(out, sizes, strict=True)) - sum(a * s for a, s in zip(p, sizes, strict=True))) <= max(sizes[-1], 0.01 * sum(sizes))
+
+
 def test_mixing_is_unbiased(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 90 + 1).alias("size"))
     counts = np.zeros(3000)
@@ -347,6 +371,7 @@ def test_embedding_dedup(spark, monkeypatch):
     key = lambda t: tuple((v is not None, v or 0) for v in t)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 4)
     assert sorted(map(tuple, embedding_dedup.link(df).collect()), key=key) == sorted(want, key=key)
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
@@ -354,11 +379,47 @@ def test_embedding_dedup(spark, monkeypatch):
 def test_rotation_code_estimates():
     r = np.random.default_rng(9)
     x = embedding_dedup._unit(r.standard_normal((400, 64)))
-    turned, signs, factor = embedding_dedup.code(x)
-    guess, bound = embedding_dedup.estimate(turned, signs, factor)
+    codes = embedding_dedup.encode(x)
+    factor, lost, signs, rounded = embedding_dedup.decode(codes, 64)
+    assert codes.shape == (400, 12 + 16 + 64)
+    assert (np.linalg.norm(x - rounded, axis=1) <= lost).all() and lost.max() < 0.03
+    assert np.allclose(factor, (embedding_dedup.turn(x) * signs).sum(1), atol=1e-5)
+    guess, bound = embedding_dedup.estimate(embedding_dedup.turn(x), signs, factor)
     error = guess - x @ x.T
     off = ~np.eye(400, dtype=bool)
     assert abs(error[off].mean()) < 0.002 and (np.abs(error) <= bound).mean() > 0.999
+    guess, bound = embedding_dedup.estimate(embedding_dedup.turn(rounded), signs, factor)
+    assert (np.abs(guess - x @ x.T) <= bound + lost[:, None]).mean() > 0.999
+
+
+def test_embedding_dedup_recall_in_a_large_label(spark):
+    """20,000 vectors of one label, at production parameters: many pairs just above the threshold."""
+    r = np.random.default_rng(12)
+    base = r.standard_normal((10_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = r.standard_normal((10_000, 32))
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = r.uniform(0.925, 0.95, 10_000)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * away]).astype(np.float32)
+    exact = embedding_dedup._unit(x.astype(np.float64))
+    want = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 1000):
+        want[at : at + 1000] = (exact[at : at + 1000] @ exact.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {v.vec_id: v.n_links for v in embedding_dedup.link(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum() > 10_000
+
+
+def test_op8_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [x for x in vectors() if x[0] is not None and x[0] < 900]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"key": F.lit(1), "code": F.lit("x"), "side": F.lit(0)})
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.connect().execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'").execute(embedding_dedup.OP8_SQL).fetchall()
+    assert sorted(map(tuple, embedding_dedup.op8_embedding_dedup(spark, str(tmp_path)).collect())) == sorted(want)
 
 
 def toxic_rows():
@@ -400,14 +461,42 @@ def test_language_id(spark, tmp_path):
     r = random.Random(17)
     make = {"en": ["the", "and", "ing", "tion"], "fr": ["eau", "é", "oi", "ment"], "de": ["sch", "ü", "ung", "ein"]}
     rows = [(i, " ".join("".join(r.choice(make[lang]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(5, 150))), lang) for i in range(600) for lang in [r.choice(list(make))]]
-    rows += [(900, None, "en"), (901, "", "en"), (902, "12 34 !!", "fr"), (903, "the " * 30_000, None), (None, "schüung", None), (5, rows[5][1], rows[5][2])]
+    rows += [(900, None, "en"), (901, "", "en"), (902, "12 34 !!", "fr"), (903, "the " * 30_000, None), (904, "½ ² ① 123", "en"), (None, "schüung", None), (5, rows[5][1], rows[5][2])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
     got = language_id.op6_language_id(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
     by = {x.doc_id: x for x in got}
     held = [by[i].lang_pred == lang for i, _, lang in rows[:600] if by[i].held_out]
     assert np.mean(held) > 0.97 and len(held) > 80
-    assert [by[k].lang_pred for k in (900, 901, 902)] == ["und"] * 3 and by[903].lang_pred == "en" and by[None].lang_pred == "de"
+    assert [by[k].lang_pred for k in (900, 901, 902, 904)] == ["und"] * 4 and by[903].lang_pred == "en" and by[None].lang_pred == "de"
     assert all(0 <= x.score <= 1 for x in got)
     df = docs(spark, [(1, "abc")])
     assert language_id.identify(df, language_id.train(df.withColumn("lang", F.lit(None).cast("string")))).first().lang_pred == "und"
+
+
+def test_language_sample_counts_copies_once(spark):
+    """A text with very many copies leaves room for the others, and for a rare language."""
+    r = random.Random(5)
+    some = lambda pool: " ".join(r.choice(pool) + str(k) for k in range(9))
+    rows = [("the nation and the station", "en")] * 5000 + [(some(["the", "nation", "and"]), "en") for _ in range(40)] + [(some(["ñoño", "está", "más"]), "es") for _ in range(40)]
+    net = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert net.languages == ["en", "es"]
+    said = language_id.identify(docs(spark, [(1, "está más ñoño"), (2, "the station nation")]), net).collect()
+    assert {x.doc_id: x.lang_pred for x in said} == {1: "es", 2: "en"}
+
+
+def test_network_against_a_plain_convolution(spark):
+    net = language_id.Network(["a", "b", "c"], seed=5)
+    text = "Ünd the QUICK fox" * 20
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    W, pad, total, n = language_id.WINDOW, language_id._PAD, np.zeros(3), 0
+    for at in range(0, len(raw), W):
+        x = raw[at : at + W + pad]
+        x = x + b"\0" * (W + pad - len(x))
+        pooled = [max(sum(float(f[k, x[p + k], j]) for k in range(w)) for p in range(W)) for w, f in net.filters.items() for j in range(language_id.FILTERS)]
+        total += np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.shift
+        n += 1
+    z = np.exp(total / n)
+    got = language_id.identify(docs(spark, [(1, text)]), net).first()
+    assert got.lang_pred == "abc"[z.argmax()] and abs(got.score - (z / z.sum()).max()) < 1e-4
+    assert language_id.identify(docs(spark, []), net).count() == 0
