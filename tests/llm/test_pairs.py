@@ -182,14 +182,54 @@ def test_substring_dedup_pairs_others_than_the_least(spark):
 
 def test_group_links_compare_what_a_leader_leaves():
     r = np.random.default_rng(3)
-    base = r.permutation(5000)[:200].astype(np.uint32)
-    ids = [base[:60], base[:90], base[:90]]  # the first lacks the last 30
-    left = [np.ones(len(i), bool) for i in ids]
-    got = substring_dedup.group_links(np.array([1, 2, 3]), ids, [i.astype(np.int64) for i in ids], left, 46, 0.8)
-    assert got == [(0, 1), (0, 2), (1, 2)]
-    same = [base[:60]] * 5
-    got = substring_dedup.group_links(np.arange(5), same, [i.astype(np.int64) for i in same], [np.ones(60, bool) for _ in same], 46, 0.8)
-    assert got == [(0, q) for q in range(1, 5)]
+    base = r.permutation(5000)[:200]
+
+    def links(windows):
+        lengths = np.array([len(w) for w in windows])
+        ids = np.full((len(windows), lengths.max()), -1)
+        for row, w in zip(ids, windows, strict=True):
+            row[: len(w)] = w
+        return substring_dedup.group_links(np.arange(len(windows)) + 1, ids, lengths, ids >= 0, 46, 0.8)
+
+    got, stands = links([base[:60], base[:90], base[:90]])  # the first lacks the last 30
+    assert got == [(0, 1), (0, 2), (1, 2)] and stands[:2].all()
+    got, stands = links([base[:60]] * 5)
+    assert got == [(0, q) for q in range(1, 5)] and stands.tolist() == [True] + [False] * 4
+    got, stands = links([base[:60], base[100:160], base[:60]])
+    assert got == [(0, 2)] and stands.tolist() == [True, True, False]
+
+
+def test_substring_dedup_cuts_large_groups(spark, monkeypatch):
+    """With parts of 8 windows, a passage in 60 texts and its variants are found as in whole groups."""
+    r = random.Random(77)
+    passage, variant = words(r, 70), words(r, 70)
+    rows = [(k, " ".join(words(r, 40) + (passage if k % 3 else variant) + words(r, 40))) for k in range(60)]
+    monkeypatch.setattr(substring_dedup, "PART", 8)
+    monkeypatch.setattr(substring_dedup, "SHRINK", 4)
+    parent = {k: k for k, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for g in substring_dedup.repeats(docs(spark, rows)).collect():
+        parent[find(g.doc_id)] = find(g.other_id)
+    assert len({find(k) for k in parent if k % 3}) == 1 and len({find(k) for k in parent if not k % 3}) == 1
+
+
+def test_substring_dedup_triples(spark):
+    """B and C are near each other; A is near both, but below the threshold. B and C are found all the same."""
+    r, rows = random.Random(91), []
+    for k in range(100):
+        base = words(r, 60)
+        b, c, a = list(base), list(base), list(base)
+        c[30] = "edit" + str(k)
+        for at in (8, 24, 40, 55):
+            a[at] = "other" + str(at)
+        rows += [(3 * k + i, " ".join(words(r, 40) + own + words(r, 40))) for i, own in enumerate((a, b, c))]
+    got = {tuple(sorted((g.doc_id, g.other_id))) for g in substring_dedup.repeats(docs(spark, rows)).collect()}
+    assert sum((3 * k + 1, 3 * k + 2) in got for k in range(100)) >= 97
 
 
 def test_substring_dedup_recall_by_pair(spark):
