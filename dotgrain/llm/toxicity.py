@@ -142,6 +142,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a row of documents, each scored alone, by its whole text; null and empty texts get the bias's score, a null
+    doc_id counts as empty text for held_out. Ties in the sample go by id; repeated rows of a picked id are all read, up
+    to the bound. An empty table gives no rows. Columns but doc_id and text aren't read, of labels doc_id and toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 3) != 1)
     model = train(docs, labels)
