@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators: each stage works on all that the one before it kept."""
+"""A corpus pipeline of five operators: each stage works on all that the one before it kept.
+
+All stages: an empty table gives an empty one; repeated rows are rows of their own; columns beside those of documents
+are dropped, whatever their names; texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language isn't recognised."""
+    """Drops documents without letters (null and empty texts, too) and those whose language isn't recognised. A null lang
+    or source stays null; rows with a null doc_id are among those learned from."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     net = language_id.train(docs.where(remainder("doc_id", 4) != 2).select("text", "lang"))
     said = language_id.identify(docs.select(*COLUMNS), net)
@@ -22,25 +27,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; n_chars follows the text."""
+    """Drops repeated lines; n_chars follows the text. A null text stays null, with a null n_chars; of rows alike in doc_id
+    all keep a line that this id keeps."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each class of near-duplicates."""
+    """Leaves one document of each class of near-duplicates: the one of least doc_id, a null id last. Null texts and texts
+    without words stay."""
     return jaccard_join.keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it doesn't take go."""
+    """Repeats each document as often as the mix takes it; those it doesn't take go, as
+    do texts without words. A null source is a source of its own. Copies stay next to each other."""
     mixed = mixing.mix(docs.select(*COLUMNS), mixing.n_words())
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return mixed.where("copies > 0").withColumn("__copy", copies).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text."""
+    """Token ids, and whether they decode to the text: none for a null or empty text. Copies that lie together are encoded once."""
     path, pattern = bpe.default_vocabulary()
     coded = bpe.encode(docs.select(*COLUMNS), path, pattern, decoded="__decoded")
     same = F.col("__decoded") == F.coalesce("text", F.lit(""))
