@@ -19,7 +19,7 @@ MASK64 = (1 << 64) - 1
 
 
 #: What Spark may hand to a Python worker at once; its own default of 64 MB is held several times over by each worker.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
