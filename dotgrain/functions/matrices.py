@@ -37,13 +37,19 @@ def lines(size: int, direction: str) -> np.ndarray:
     return (t + 0.5) / size
 
 
+#: Seed, multiplier, increment and divisor of the white noise (fixed values).
+WHITE = (0x9E3779B9, 1664525, 1013904223, 0xFFFFFF)
+
+
 @cache
-def white_noise(size: int = 64) -> np.ndarray:
-    s, out = 12345, []
+def white_noise(size: int = 32) -> np.ndarray:
+    """Thresholds from a linear congruential sequence modulo 2^32, in single precision."""
+    state, factor, step, most = WHITE
+    high = []
     for _ in range(size * size):
-        s = (s * 1664525 + 1013904223) % (1 << 32)
-        out.append((s >> 8) / (1 << 24))
-    return np.array(out).reshape(size, size)
+        state = (state * factor + step) % (1 << 32)
+        high.append(state >> 8)
+    return (np.array(high) / most).astype(np.float32).astype(np.float64).reshape(size, size)
 
 
 @cache

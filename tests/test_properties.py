@@ -199,3 +199,16 @@ def test_colour_round_trips(spark):
 def test_widen_rejects(spark):
     with pytest.raises(Exception, match="1, 3 or 4"):
         images.widen(images.solid(spark, 2, 2), F.lit(2)).collect()
+
+
+def test_white_noise_values():
+    from dotgrain.functions import matrices
+
+    m = matrices.white_noise()
+    assert m.shape == (32, 32) and 0 <= m.min() and m.max() <= 1 and abs(m.mean() - 0.5) < 0.03
+    # n steps of a congruential sequence in closed form: s * a^n + c * (a^n - 1) / (a - 1)
+    a, c, k = 1664525, 1013904223, 1 << 32
+    for n in (1, 2, 33, 1024):
+        power = pow(a, n, k * (a - 1))
+        s = (0x9E3779B9 * power + c * ((power - 1) // (a - 1))) % k
+        assert abs(m.reshape(-1)[n - 1] - (s >> 8) / 0xFFFFFF) < 1e-7
