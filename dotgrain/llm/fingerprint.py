@@ -192,5 +192,5 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a row of documents, repeated ones too, as compare_with_edited says: a null text counts as empty, rows alike
-    in doc_id follow each other by their texts. An empty table gives no rows. Columns but doc_id and text aren't read."""
+    in doc_id follow each other by a hash of their texts. An empty table gives no rows. Columns but doc_id and text aren't read."""
     return compare_with_edited(table(spark, sf_dir, "documents"))
