@@ -25,7 +25,7 @@ def tasks(rows: DataFrame, block: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("__own", "__other"), "j": F.greatest("__own", "__other"), "side": (F.col("__own") > F.col("__other")).cast("int")}).drop("__n", "__cut", "__own", "__other")
 
 
-def lowest(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def lowest(keys: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
     """For each key of a task the least one that its pairs (two rows of places) lead to."""
     out = keys.copy()
     while True:

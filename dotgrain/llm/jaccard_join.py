@@ -35,6 +35,7 @@ SIGNATURE, RUNS, FIRST_DEPTH, DEPTH, SMALL = 64, 12, 2, 6, 64
 BOUND = 4.0
 RECALL = 0.999  # of pairs at the threshold
 BLOCK = 1024
+ROWS = 256  # of a task's matrices that are worked on at once
 _MULT = mix64(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix64(np.arange(9001, 9001 + SIGNATURE, dtype=np.uint64))
 
@@ -168,14 +169,19 @@ def candidates(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     sigs, m = _sigs(t.column("sig").combine_chunks()), t.num_rows
     least = _least(threshold)
     sizes = np.asarray(t.column("size")).astype(float)
-    alike = np.zeros((m, m), np.uint8)
-    for k in range(SIGNATURE):
-        alike += sigs[:, k][:, None] == sigs[:, k][None, :]
-    fits = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
-    ok = (alike >= least) & fits & _pair_mask(t, node, i, j)
-    got = ok.any(0) | ok.any(1)
-    if m > 256:
-        del alike, fits, ok
+    wanted = _pair_mask(t, node, i, j)
+    got = np.zeros(m, bool)
+    for lo in range(0, m, ROWS):
+        part = slice(lo, lo + ROWS)
+        alike = np.zeros((len(sigs[part]), m), np.uint8)
+        for k in range(SIGNATURE):
+            alike += sigs[part, k][:, None] == sigs[:, k][None, :]
+        fits = np.minimum(sizes[part, None], sizes) >= threshold * np.maximum(sizes[part, None], sizes) - 1e-9
+        ok = (alike >= least) & fits & wanted[part]
+        got[part] |= ok.any(1)
+        got |= ok.any(0)
+    if m > ROWS:
+        del wanted
         tidy()
     return t.select(_TOLD.names).filter(pa.array(got)).cast(_TOLD)
 
@@ -191,12 +197,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     number, of = number[order], of[order]
     dense = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]])) if len(number) else number
     out = np.zeros((m, m), np.float32)
-    width = 2048
+    width = 1024
     for lo in range(0, int(dense[-1]) + 1 if len(dense) else 0, width):
         a, b = np.searchsorted(dense, [lo, lo + width])
         x = np.zeros((m, width), np.float32)
         x[of[a:b], dense[a:b] - lo] = 1
-        out += x @ x.T
+        for p in range(0, m, ROWS):
+            out[p : p + ROWS] += x[p : p + ROWS] @ x.T
     return out
 
 
@@ -209,11 +216,15 @@ def verify(key: tuple, t: pa.Table, threshold: float) -> pa.Table:
     keys, copies = (np.asarray(t.column(c)) for c in ("key", "copies"))
     sizes = np.array([len(s) for s in sets], float)
     both = overlaps(sets)
-    ok = (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & _pair_mask(t, node, i, j)
-    least = lowest(keys, np.stack(np.nonzero(ok)))
-    links = (ok | ok.T) @ copies
+    ok, links = _pair_mask(t, node, i, j), np.zeros(len(keys), np.int64)
+    for lo in range(0, len(keys), ROWS):
+        part = slice(lo, lo + ROWS)
+        ok[part] &= both[part] >= threshold * (sizes[part, None] + sizes - both[part]) - 1e-6
+        links[part] += ok[part] @ copies
+        links += copies[part] @ ok[part]
+    least = lowest(keys, [x.astype(np.int32) for x in np.nonzero(ok)])
     got = links > 0
-    if len(keys) > 256:
+    if len(keys) > ROWS:
         del both, ok
         tidy()
     return pa.table({"key": pa.array(keys[got]), "links": pa.array(links[got].astype(np.int64)), "least": pa.array(least[got])})
