@@ -10,6 +10,29 @@ from ..functions.matrices import blue_noise
 from .cells import Grid
 
 SMALLEST = 0.008
+#: How many rows apart screens read the noise and the jitter (fixed values).
+FM_STEP, JITTER_STEP = 97, 31
+
+
+def fm_threshold(col: Column, row: Column) -> Column:
+    """The blue noise that ink has to pass in a cell."""
+    m = blue_noise()
+    n = m.shape[0]
+    return F.element_at(F.array(*(F.lit(float(v)) for v in m.ravel())), (row % n * n + col % n + 1).cast("int"))
+
+
+def ink_dots(cov: DataFrame, grid: Grid, rank: int, *, radius: float = 100, curve: float = 0, gain: float = 0, fm: bool = False, jitter: dict | None = None, slip: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """A screen (row, col, cov) with ord, cx, cy, radius, rot. Each screen has its own part of the noise and of
+    the jitter; slip is how far its plate lies off."""
+    most = grid.cell * 0.5 * radius / 100
+    if fm:
+        own = cov.where(F.col("cov") > fm_threshold(F.col("col"), F.col("row") + rank * FM_STEP)).withColumn("radius", F.lit(float(most)))
+    else:
+        own = cov.withColumn("radius", tone.ink_to_radius(F.col("cov"), most, curve)).where(F.col("radius") > SMALLEST)
+    cx, cy = grid.centre(F.col("col"), F.col("row"))
+    dx, dy, factor, rot = geometry.dot_jitter(F.col("col"), F.col("row") + rank * JITTER_STEP, grid.cell, **(jitter or {}))
+    own = own.withColumns({"cx": cx + slip[0] + dx, "cy": cy + slip[1] + dy, "radius": (F.col("radius") + grid.cell * gain / 100) * factor, "rot": rot})
+    return own.where(F.col("radius") > SMALLEST).withColumn("ord", F.lit(rank * 10**10).cast("long") + F.col("row") * grid.cols + F.col("col"))
 
 
 def dots(cells: DataFrame, grid: Grid, lut: list[float], *, radius: float = 100, curve: float = 0, gain: float = 0, bias: float = 0, invert: bool = False, fm: bool = False, jitter: dict | None = None, view: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -22,10 +45,7 @@ def dots(cells: DataFrame, grid: Grid, lut: list[float], *, radius: float = 100,
     graded = tone.sample_lut(lut, F.col("lum_sum") / F.col("n"))
     out = cells.withColumn("ink", tone.bias(graded if invert else 1 - graded, bias))
     if fm:
-        m = blue_noise()
-        table = F.array(*(F.lit(float(v)) for v in m.ravel()))
-        n = m.shape[0]
-        out = out.where(F.col("ink") > F.element_at(table, (F.col("row") % n * n + F.col("col") % n + 1).cast("int"))).withColumn("radius", F.lit(most))
+        out = out.where(F.col("ink") > fm_threshold(F.col("col"), F.col("row"))).withColumn("radius", F.lit(most))
     else:
         out = out.withColumn("radius", tone.ink_to_radius(F.col("ink"), most, curve)).where(F.col("radius") > SMALLEST)
     out = out.withColumn("radius", F.col("radius") + grid.cell * gain / 100)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, tone
-from .cells import Grid, aggregate
+from .cells import Grid, aggregate, edge_aware
 from .palette import Palette
 
 LAMBDA, ROUNDS = 0.015, 60
@@ -48,26 +50,46 @@ def unmix(rgb: np.ndarray, inks: Palette, paper: tuple[int, int, int]) -> np.nda
     return x
 
 
+def means(cells: DataFrame, lut: list[float] | None = None, invert: bool = False) -> DataFrame:
+    """cells (r_sum, g_sum, b_sum, n) with r, g, b: each channel's mean, unrounded; graded by a table, then inverted."""
+    mean = {c: F.col(f"{c}_sum") / F.col("n") for c in "rgb"}
+    if lut is not None:
+        mean = {c: tone.sample_lut(lut, v / 255.0) * 255.0 for c, v in mean.items()}
+    return cells.withColumns({c: (255.0 - v if invert else v).cast("double") for c, v in mean.items()})
+
+
 def coverages(cells: DataFrame, inks: Palette, paper: tuple[int, int, int]) -> DataFrame:
-    """cells (r_sum, g_sum, b_sum, n) with cov, one coverage an ink."""
+    """cells (r, g, b) with cov, one coverage an ink."""
 
     def run(batches):
-        for pdf in batches:
-            mean = pdf[["r_sum", "g_sum", "b_sum"]].to_numpy(float) / pdf[["n"]].to_numpy(float)
-            yield pdf.assign(cov=list(unmix(mean, inks, paper))) if len(pdf) else pd.DataFrame(columns=[*pdf.columns, "cov"])
+        for batch in batches:
+            cov = unmix(np.column_stack([np.asarray(batch.column(c)) for c in "rgb"]), inks, paper)
+            starts = np.arange(len(cov) + 1, dtype=np.int32) * len(inks)
+            made = pa.ListArray.from_arrays(pa.array(starts), pa.array(cov.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "cov"])
 
-    return cells.mapInPandas(run, ", ".join([*(f"{n} {k}" for n, k in cells.dtypes), "cov array<double>"]))
+    return cells.mapInArrow(run, ", ".join([*(f"{n} {k}" for n, k in cells.dtypes), "cov array<double>"]))
 
 
-def screens(px: DataFrame, w: int, h: int, inks: Palette, paper: tuple[int, int, int], density_: float, base: float = 0, spread: float = 1, bias: float = 0) -> DataFrame:
-    """image_id, screen, row, col, cov, n: each ink over a grid at its own angle. Equal angles share one pass."""
+def each_screen(
+    px: DataFrame, w: int, h: int, inks: Palette, paper: tuple[int, int, int], density_: float, base: float = 0, spread: float = 1, bias: float = 0,
+    *, lut: list[float] | None = None, invert: bool = False, edge: bool = False, mode: str = "luma709",
+) -> list[DataFrame]:
+    """For each ink image_id, screen, row, col, cov, n over a grid at its own angle. Cells are graded, not pixels; equal
+    angles share their cells."""
     angles = [round(a, 4) for a in geometry.screen_angles(len(inks), base, spread)]
-    out = None
+    made = {}
     for angle in dict.fromkeys(angles):
-        c = coverages(aggregate(px, Grid.make(w, h, density_, angle)), inks, paper)
-        own = F.array(*(F.lit(i) for i, a in enumerate(angles) if a == angle))
-        part = c.withColumn("screen", F.explode(own))
-        cov = tone.bias(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.element_at("cov", F.col("screen") + 1))), bias)
-        part = part.select("image_id", "screen", "row", "col", cov.alias("cov"), "n")
-        out = part if out is None else out.unionByName(part)
+        grid = Grid.make(w, h, density_, angle)
+        found = edge_aware(px, grid, 1, mode) if edge else aggregate(px, grid, mode)
+        made[angle] = coverages(means(found, lut, invert), inks, paper)
+    out = []
+    for rank, angle in enumerate(angles):
+        cov = tone.bias(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cov")[rank])), bias)
+        out.append(made[angle].select("image_id", F.lit(rank).alias("screen"), "row", "col", cov.alias("cov"), "n"))
     return out
+
+
+def screens(px: DataFrame, w: int, h: int, inks: Palette, paper: tuple[int, int, int], density_: float, *args, **more) -> DataFrame:
+    """All of each_screen in one frame."""
+    return reduce(DataFrame.unionByName, each_screen(px, w, h, inks, paper, density_, *args, **more))

@@ -45,16 +45,26 @@ def _joined(text: str, order: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), "\n")
 
 
-def document(dots: DataFrame, shape: str, cell: float, w: int, h: int, screens: bool = False) -> DataFrame:
-    """image_id, svg, shapes, busy: one group an ink (hex), in order of first use; with screens, one a screen, multiplied."""
+def document(dots: DataFrame, shape: str, cell: float, w: int, h: int, screens: bool = False, paper: str | None = None) -> DataFrame:
+    """image_id, svg, shapes, busy: one group an ink (hex), in order of first use; with screens, one a screen (with its
+    angle), multiplied. paper: the colour of a sheet below them, in a document that stands alone."""
     by = "screen" if screens else "hex"
     marked = dots.withColumn("m", markup(shape, cell))
-    groups = marked.groupBy("image_id", by).agg(F.min("ord").alias("first"), _joined("m", "ord").alias("body"), F.count(F.lit(1)).alias("n"), F.first("hex").alias("fill"))
-    style = F.lit(' style="mix-blend-mode:multiply"' if screens else "")
-    name = F.concat(F.lit("ink-"), F.substring("fill", 2, 6))
+    angle = F.first("angle") if screens else F.lit(0.0)
+    groups = marked.groupBy("image_id", by).agg(F.min("ord").alias("first"), _joined("m", "ord").alias("body"), F.count(F.lit(1)).alias("n"), F.first("hex").alias("fill"), angle.alias("angle"))
+    bare = F.substring("fill", 2, 6)
+    if screens:
+        name = F.concat(F.lit("screen-"), F.col("screen").cast("string"), F.lit("-"), bare, F.lit('" data-angle="'), number(F.col("angle")))
+    else:
+        name = F.concat(F.lit("ink-"), bare)
+    style = F.lit(' style="mix-blend-mode: multiply"' if screens else "")
     group = F.concat(F.lit('<g id="'), name, F.lit('" fill="'), F.col("fill"), F.lit('"'), style, F.lit(">\n"), F.col("body"), F.lit("\n</g>"))
     place = F.col("screen").cast("long") if screens else F.col("first")
     groups = groups.withColumns({"g": group, "place": place})
     out = groups.groupBy("image_id").agg(_joined("g", "place").alias("body"), F.sum("n").alias("shapes"))
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}">\n'
-    return out.select("image_id", F.concat(F.lit(head), F.col("body"), F.lit("\n</svg>")).alias("svg"), "shapes", (F.col("shapes") > BUSY).alias("busy"))
+    alone = ' style="isolation: isolate"' if screens else ""
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}"{alone}>\n'
+    if paper:
+        head = f'<?xml version="1.0" encoding="UTF-8"?>\n{head}<rect width="{w}" height="{h}" fill="{paper}"/>\n'
+    tail = "\n</svg>\n" if paper else "\n</svg>"
+    return out.select("image_id", F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("svg"), "shapes", (F.col("shapes") > BUSY).alias("busy"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import color, geometry, tone
 from ..functions.kernels import KERNELS
 from ..functions.matrices import ORDERED
+from ..functions.params import sanitized
 from ..operators import cells, dither, palette, raster, records, separation, svg
 from ..operators.palette import INKS
 from ..sources import codecs, images
-from . import sql
+from . import render, sql
 from .basic import _TONE, DENSITY, LUT, pixels, six
 
 QUERIES: dict = {}
@@ -272,7 +273,7 @@ def dots_fm(spark, sf_dir):
 @query()
 def unmix(spark, sf_dir):
     px, w, h = pixels(spark, sf_dir)
-    return separation.coverages(cells.aggregate(px, cells.Grid.make(w, h, DENSITY)), INKS[:4], (255, 255, 255)).select("row", "col", "n", "cov")
+    return separation.coverages(separation.means(cells.aggregate(px, cells.Grid.make(w, h, DENSITY))), INKS[:4], (255, 255, 255)).select("row", "col", "n", "cov")
 
 
 @query()
@@ -285,18 +286,66 @@ def per_ink_screens(spark, sf_dir):
 def render_per_ink(spark, sf_dir):
     """Multiplied screens, each slipped and at its own angle."""
     px, w, h = pixels(spark, sf_dir)
-    inks = INKS[:4]
-    cov = separation.screens(px, w, h, inks, PAPER, DENSITY)
-    out = None
-    for i, angle in enumerate(geometry.screen_angles(len(inks))):
-        grid = cells.Grid.make(w, h, DENSITY, angle)
-        cx, cy = grid.centre(F.col("col"), F.col("row"))
-        dx, dy = geometry.ink_offset(i, 10, grid.cell, 1)
-        own = cov.where(F.col("screen") == i).withColumn("radius", tone.ink_to_radius(F.col("cov"), grid.cell / 2)).where(F.col("radius") > raster.SMALLEST)
-        own = own.withColumns({"cx": cx + dx, "cy": cy + dy, "rot": F.lit(0.0), "ord": F.lit(i * 10**9) + F.col("row") * grid.cols + F.col("col"), **{c: F.lit(v) for c, v in zip("rgb", inks[i], strict=True)}})
-        part = raster.stamp(own, "circle", grid.cell, w, h, ("image_id", "ord", "r", "g", "b"))
-        out = part if out is None else out.unionByName(part)
-    return raster.multiply(out, PAPER).select("x", "y", "r", "g", "b")
+    p = {**sanitized({"density": DENSITY, "screenMode": "perInk", "misregistration": 10, "background": "auto"})}
+    made, cell = render.screen_dots(px, w, h, p, render.Colours(list(INKS), list(INKS), len(INKS) - 1), w, h, 72)
+    return raster.multiply(raster.stamp(made, "circle", cell, w, h, ("image_id", "ord", "r", "g", "b")), PAPER).select("x", "y", "r", "g", "b")
+
+
+# ---- one ink on white: the lasso has a closed form ----
+
+_INK = (200, 40, 60)
+_SHEET = (255, 255, 255)
+#: Levels, gamma, contrast, exposure and bias, an upright screen (its own angle is 45), edges kept as they are.
+_PRESS = dict(density=DENSITY, screenMode="perInk", blackPoint=10, whitePoint=240, gamma=1.2, contrast=1.1, exposure=4, gradeBias=0.2, dotGain=10, radiusCurve=0.25, invert=True)
+
+
+def _tone_at(i: str) -> str:
+    return sql.clamp01(f"(pow({sql.clamp01(f'({i} - 10e0) / 230e0')}, 1 / 1.2e0) - 0.5e0) * 1.1e0 + 0.54e0")
+
+
+def _density_of(v: str) -> str:
+    return f"-log10(greatest(0.004e0, {sql.lin(v)}))"
+
+
+_FLAT = ", ".join(f"{_density_of(f'{v}e0')} AS i{c}" for c, v in zip("rgb", _INK, strict=True))
+_GRADED = ", ".join(f"floor(255e0 - 255e0 * ({_tone_at(f'floor({c})')} + ({_tone_at(f'least(255, floor({c}) + 1)')} - {_tone_at(f'floor({c})')}) * ({c} - floor({c}))) + 0.5e0) AS {c}" for c in "rgb")
+_ONE_INK = f"""{sql.grid(DENSITY)}, {sql.in_cells()}, {sql.CELLS}, flat AS (SELECT {_FLAT}), mean AS (SELECT * EXCLUDE (n), n, r_sum / n AS r, g_sum / n AS g, b_sum / n AS b FROM cells),
+graded AS (SELECT * REPLACE ({_GRADED}) FROM mean), part AS (SELECT graded.*, {sql.clamp01(f"({_density_of('r')} * ir + {_density_of('g')} * ig + {_density_of('b')} * ib) / (ir * ir + ig * ig + ib * ib) - 0.015e0")} AS c0 FROM graded, flat),
+cov AS (SELECT *, CASE WHEN c0 <= 0 THEN 0e0 WHEN c0 >= 1 THEN 1e0 ELSE c0 / ((1 / 0.6e0 - 2) * (1 - c0) + 1) END AS cov FROM part)"""
+_INK_DOTS = f"""{_ONE_INK}, dots AS (SELECT row, col, row * cols + col AS ord, (col + 0.5e0) * cell + gl + w / 2e0 AS cx, (row + 0.5e0) * cell + gt + h / 2e0 AS cy,
+ (sqrt(cov) * 0.75e0 + cov * 0.25e0) * cell * 0.5e0 + cell * 0.1e0 AS radius, cell, w, h FROM cov WHERE (sqrt(cov) * 0.75e0 + cov * 0.25e0) * cell * 0.5e0 > 0.008e0)"""
+
+
+def _one_ink():
+    return {**sanitized(_PRESS), "angle": -45.0}, render.Colours([_INK, _SHEET], [_INK, _SHEET], 1)
+
+
+@query(f"WITH {sql.PX}, {_ONE_INK} SELECT row, col, n, round(cov, 6) AS cov FROM cov")
+def ink_screen(spark, sf_dir):
+    """Coverage of one ink, from graded cells."""
+    px, w, h = pixels(spark, sf_dir)
+    p, _ = _one_ink()
+    found = separation.screens(px, w, h, [_INK], _SHEET, DENSITY, p["angle"], 1, p["gradeBias"], lut=render.lut(p), invert=True)
+    return found.select("row", "col", "n", six(F.col("cov")).alias("cov"))
+
+
+@query(f"WITH {sql.PX}, {_INK_DOTS}, {_CIRCLE}, k AS ({_SCREEN}) SELECT 1 AS plate, x, y, 255::BIGINT AS v FROM px UNION ALL SELECT 0 AS plate, x, y, v FROM k")
+def ink_plates(spark, sf_dir):
+    """The paper's mask and an ink's."""
+    px, w, h = pixels(spark, sf_dir)
+    p, c = _one_ink()
+    return render.screen_plates(px, w, h, p, c, w, h, 72, "events").select("plate", "x", "y", "v")
+
+
+@query(f"""WITH {sql.PX}, {_INK_DOTS}, m AS (SELECT ord, w, h, '<circle cx="' || {_num("cx")} || '" cy="' || {_num("cy")} || '" r="' || {_num("radius")} || '"/>' AS m FROM dots)
+SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xmlns="http://www.w3.org/2000/svg" width="' || any_value(w) || '" height="' || any_value(h) || '" viewBox="0 0 ' || any_value(w) || ' ' || any_value(h) || '" style="isolation: isolate">' || chr(10) || '<rect width="' || any_value(w) || '" height="' || any_value(h) || '" fill="#FFFFFF"/>' || chr(10)
+ || '<g id="screen-0-C8283C" data-angle="0" fill="#C8283C" style="mix-blend-mode: multiply">' || chr(10) || string_agg(m, chr(10) ORDER BY ord) || chr(10) || '</g>' || chr(10) || '</svg>' || chr(10) AS svg, count(*) AS shapes, count(*) > 200000 AS busy FROM m""")
+def ink_svg(spark, sf_dir):
+    px, w, h = pixels(spark, sf_dir)
+    p, c = _one_ink()
+    made, cell = render.screen_dots(px, w, h, p, c, w, h, 72)
+    made = made.withColumn("hex", color.to_hex(tuple(map(F.col, "rgb"))))
+    return svg.document(made, "circle", cell, w, h, screens=True, paper="#FFFFFF").select("svg", "shapes", "busy")
 
 
 for _name in palette.QUANTISERS:

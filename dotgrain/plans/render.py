@@ -88,7 +88,7 @@ def _dithered(px: DataFrame, p: dict[str, Any], c: Colours) -> DataFrame:
 def _dots(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int, oh: int, ppi: float) -> tuple[DataFrame, cells.Grid]:
     grid = cells.Grid.make(w, h, resolution(p, max(w, h), ppi), p["angle"])
     found = cells.edge_aware(px, grid, 1, p["lumaMode"]) if p["edgeAware"] else cells.aggregate(px, grid, p["lumaMode"])
-    found = found.withColumns({k: F.floor(F.col(f"{k}_sum") / F.col("n")) for k in "rgb"})
+    found = found.withColumns({k: F.col(f"{k}_sum") / F.col("n") for k in "rgb"})
     found = color.adjust(found, p["hue"], p["saturation"], p["brightness"])
     inks = c.inks
     found = found.withColumn("__i", palette.nearest(tuple(map(F.col, "rgb")), [c.painted[i] for i in inks]))
@@ -100,26 +100,34 @@ def _dots(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int,
     return made, out
 
 
-def _screens(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int, oh: int, ppi: float) -> DataFrame:
-    """Dots of all inks, darkest first, each screen slipped and at its own angle."""
+def screen_dots(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int, oh: int, ppi: float, press: bool = True) -> tuple[DataFrame, float]:
+    """Dots of all inks, darkest first, each screen at its own angle, and the cells' size. press: with slipped plates,
+    jitter and FM screens, which masks don't have."""
     order = sorted(c.inks, key=lambda i: palette.luma709(c.match[i]))
-    table = tone.tone_bytes(lut(p), p["invert"])
-    graded = F.array(*map(F.lit, table))
-    px = px.withColumns({k: F.element_at(graded, (F.col(k) + 1).cast("int")) for k in "rgb"})
+    paper = c.match[c.paper] if p["background"] == "auto" else c.painted[c.paper]
     d = resolution(p, max(w, h), ppi)
-    cov = separation.screens(px, w, h, [c.match[i] for i in order], c.match[c.paper], d, p["angle"], p["screenSpread"], p["gradeBias"])
-    out = None
+    covs = separation.each_screen(px, w, h, [c.match[i] for i in order], paper, d, p["angle"], p["screenSpread"], p["gradeBias"], lut=lut(p), invert=p["invert"], edge=p["edgeAware"], mode=p["lumaMode"])
+    jitter = {"position": p["jitterPosition"], "size": p["jitterSize"], "angle": p["jitterAngle"], "seed": int(p["seed"])}
+    out, cell = None, 0.0
     for rank, (i, angle) in enumerate(zip(order, geometry.screen_angles(len(order), p["angle"], p["screenSpread"]), strict=True)):
         grid = cells.Grid.make(w, h, d, angle).scaled(ow, oh)
-        cx, cy = grid.centre(F.col("col"), F.col("row"))
-        dx, dy = geometry.ink_offset(rank, p["misregistration"], grid.cell, int(p["seed"]))
-        most = grid.cell * 0.5 * p["radius"] / 100
-        own = cov.where(F.col("screen") == rank).withColumn("radius", tone.ink_to_radius(F.col("cov"), most, p["radiusCurve"])).where(F.col("radius") > raster.SMALLEST)
-        own = own.withColumns({"radius": F.col("radius") + grid.cell * p["dotGain"] / 100, "cx": cx + dx, "cy": cy + dy, "rot": F.lit(0.0), "idx": F.lit(i)})
-        own = own.withColumns({"ord": F.lit(rank * 10**10) + F.col("row") * grid.cols + F.col("col"), **{k: F.lit(v) for k, v in zip("rgb", c.painted[i], strict=True)}})
-        stamped = raster.stamp(own, p["shape"], grid.cell, ow, oh, ("image_id", "ord", "screen", "idx", "r", "g", "b"))
-        out = stamped if out is None else out.unionByName(stamped)
-    return out
+        slip = geometry.ink_offset(rank, p["misregistration"] if press else 0, grid.cell, int(p["seed"]))
+        own = raster.ink_dots(covs[rank], grid, rank, radius=p["radius"], curve=p["radiusCurve"], gain=p["dotGain"], fm=press and p["screenType"] == "fm", jitter=jitter if press else None, slip=slip)
+        own = own.withColumns({"idx": F.lit(i), "angle": F.lit(float(angle)), **{k: F.lit(v) for k, v in zip("rgb", c.painted[i], strict=True)}})
+        out, cell = own if out is None else out.unionByName(own), grid.cell
+    return out, cell
+
+
+def _screens(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int, oh: int, ppi: float, press: bool = True) -> DataFrame:
+    made, cell = screen_dots(px, w, h, p, c, ow, oh, ppi, press)
+    return raster.stamp(made, p["shape"], cell, ow, oh, ("image_id", "ord", "screen", "idx", "r", "g", "b"))
+
+
+def screen_plates(px: DataFrame, w: int, h: int, p: dict[str, Any], c: Colours, ow: int, oh: int, ppi: float, image: str) -> DataFrame:
+    """image_id, plate, x, y, v: the paper, covered everywhere, and each ink's coverage; plates carry palette indices."""
+    inks = raster.ink_masks(_screens(px, w, h, p, c, ow, oh, ppi, press=False), ("image_id", "idx", "x", "y")).withColumnRenamed("idx", "plate")
+    sheet = images.blank(px.sparkSession, ow, oh).select(F.lit(image).alias("image_id"), F.lit(c.paper).alias("plate"), "x", "y", F.lit(255).cast("long").alias("v"))
+    return sheet.unionByName(inks)
 
 
 def render(px: DataFrame, settings: dict[str, Any], out: tuple[int, int] | None = None, ppi: float = 72) -> DataFrame:
@@ -152,7 +160,7 @@ def plates(px: DataFrame, settings: dict[str, Any], ppi: float = 72) -> DataFram
         found = dither.masks(dither.expand(_dithered(work, p, c), aw, ah, w, h), len(c.match))
         blend = "normal"
     elif p["screenMode"] == "perInk":
-        found = raster.ink_masks(_screens(work, aw, ah, p, c, w, h, ppi), ("image_id", "idx", "x", "y")).withColumnRenamed("idx", "plate")
+        found = screen_plates(work, aw, ah, p, c, w, h, ppi, px.first()["image_id"])
         blend = "multiply"
     else:
         made, grid = _dots(work, aw, ah, p, c, w, h, ppi)
@@ -169,8 +177,13 @@ def render_svg(px: DataFrame, settings: dict[str, Any], ppi: float = 72) -> Data
         raise ValueError("a dithered picture has no vector form")
     w, h = images.size(px)
     work, aw, ah = analyse(px, w, h, p, ppi)
-    made, grid = _dots(work, aw, ah, p, colours(work, aw, ah, p), w, h, ppi)
-    return svg.document(made.withColumn("hex", color.to_hex(tuple(map(F.col, "rgb")))), p["shape"], grid.cell, w, h)
+    c = colours(work, aw, ah, p)
+    paper, inked = "#%02X%02X%02X" % c.painted[c.paper], color.to_hex(tuple(map(F.col, "rgb")))
+    if p["screenMode"] == "perInk":
+        made, cell = screen_dots(work, aw, ah, p, c, w, h, ppi)
+        return svg.document(made.withColumn("hex", inked), p["shape"], cell, w, h, screens=True, paper=paper)
+    made, grid = _dots(work, aw, ah, p, c, w, h, ppi)
+    return svg.document(made.withColumn("hex", inked), p["shape"], grid.cell, w, h, paper=paper)
 
 
 def batch(pictures: dict[str, DataFrame], settings: dict[str, Any]) -> list[tuple[str, DataFrame | None, str | None]]:

@@ -49,3 +49,30 @@ def test_svg_and_batch(spark):
     got = render.batch({"a": px, "bad": px.drop("r"), "b": px}, {"density": 8})
     assert [e is None for _, _, e in got] == [True, False, True] and got[2][1].count() == 1200
     assert len(presets.BUILTIN) == 13 and presets.find("Comic")["contrast"] == 1.45
+
+
+def test_screens_per_ink(spark):
+    px = images.flats(spark, 40, 30)
+    p = {"palette": ["#161616", "#EC3E32", "#2A6FDB", "#F5EBD8"], "spread": 0, "density": 10, "screenMode": "perInk", "angle": 20}
+    masks = render.plates(px, p)
+    paper = masks.where("hex = '#F5EBD8'")
+    assert paper.count() == 1200 and paper.where("v <> 255").count() == 0
+    assert masks.where("v < 0 or v > 255 or blend <> 'multiply'").count() == 0 and 2 <= masks.select("plate").distinct().count() <= 4
+    doc = render.render_svg(px, p).first()
+    assert doc.svg.startswith("<?xml") and 'fill="#F5EBD8"/>' in doc.svg and doc.svg.count("<circle") == doc.shapes
+    assert doc.svg.index('id="screen-0-') < doc.svg.index('id="screen-1-') and 'data-angle="65"' in doc.svg
+    plain, slipped = (render.render(px, {**p, **more}) for more in ({}, {"misregistration": 80}))
+    assert plain.count() == 1200 and plain.exceptAll(slipped).count() > 0
+    noise = render.render(px, {**p, "screenType": "fm", "jitterSize": 50, "edgeAware": True, "hue": 40})
+    assert noise.count() == 1200 and noise.where("r is null or r < 0 or r > 255").count() == 0
+
+
+def test_screens_read_their_own_noise(spark):
+    from dotgrain.functions.matrices import blue_noise
+    from dotgrain.operators import cells, raster
+
+    grid = cells.Grid.make(40, 40, 10, 0)
+    cov = images.blank(spark, 10, 10).select(F.lit("a").alias("image_id"), F.col("x").alias("col"), F.col("y").alias("row"), F.lit(0.4).alias("cov"))
+    for rank in (0, 2):
+        got = {(r.row, r.col) for r in raster.ink_dots(cov, grid, rank, fm=True).collect()}
+        assert got == {(y, x) for y in range(10) for x in range(10) if blue_noise()[(y + rank * 97) % 64, x % 64] < 0.4}
