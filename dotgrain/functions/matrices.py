@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cache
 
 import numpy as np
@@ -52,10 +53,28 @@ def white_noise(size: int = 32) -> np.ndarray:
     return (np.array(high) / most).astype(np.float32).astype(np.float64).reshape(size, size)
 
 
+#: Seed, multiplier, increment and greatest value of the scatter that blue noise starts from (fixed values).
+BLUE = (0x2F6E2B1, 1103515245, 12345, 0x7FFFFFFF)
+
+
+def _scatter(n: int, points: int) -> np.ndarray:
+    """Which of n places the first `points` different ones of a congruential sequence are. Its products are rounded to
+    doubles before the modulo, as the fixed values presume."""
+    state, factor, step, most = BLUE
+    on = np.zeros(n, bool)
+    while points:
+        state = int(float(state) * factor + step) & most
+        at = math.floor(state / most * n)
+        points -= not on[at]
+        on[at] = True
+    return on
+
+
 @cache
-def blue_noise(size: int = 64, sigma: float = 1.5, reach: int = 7, seed: int = 0x2F6E2B1) -> np.ndarray:
-    """Void and cluster: ranks points so that each level is evenly spread."""
+def blue_noise(size: int = 64, sigma: float = 1.5, reach: int = 7) -> np.ndarray:
+    """Void and cluster: ranks points so that each level is evenly spread. Energies are kept in single precision."""
     n = size * size
+    reach = min(reach, size // 2)
     offsets = np.arange(-reach, reach + 1)
     weight = np.exp(-(offsets[:, None] ** 2 + offsets[None, :] ** 2) / (2 * sigma * sigma))
 
@@ -63,11 +82,14 @@ def blue_noise(size: int = 64, sigma: float = 1.5, reach: int = 7, seed: int = 0
         y, x = divmod(at, size)
         field[np.ix_((y + offsets) % size, (x + offsets) % size)] += sign * weight
 
-    r = np.random.default_rng(seed)
-    on, field = np.zeros(n, bool), np.zeros((size, size))
-    for at in r.permutation(n)[: n // 10]:
-        on[at] = True
-        spread(field, int(at), 1)
+    def energy(points: np.ndarray) -> np.ndarray:
+        field = np.zeros((size, size), np.float32)
+        for at in np.flatnonzero(points):
+            spread(field, int(at), 1)
+        return field
+
+    on = _scatter(n, max(1, math.floor(n * 0.1 + 0.5)))
+    field = energy(on)
     tight = lambda: int(np.where(on, field.ravel(), -np.inf).argmax())
     void = lambda: int(np.where(on, np.inf, field.ravel()).argmin())
     for _ in range(4 * n):
@@ -80,12 +102,11 @@ def blue_noise(size: int = 64, sigma: float = 1.5, reach: int = 7, seed: int = 0
         if a == b:
             break
     rank, start = np.zeros(n, int), on.copy()
-    saved = field.copy()
     for k in range(int(on.sum()) - 1, -1, -1):
         a = tight()
         rank[a], on[a] = k, False
         spread(field, a, -1)
-    on, field = start.copy(), saved
+    on, field = start.copy(), energy(start)
     for k in range(int(start.sum()), n):
         b = void()
         rank[b], on[b] = k, True

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from typing import Any, NamedTuple
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .matrices import ALGORITHMS
 
 VERSION = 2
@@ -108,3 +111,25 @@ def resolution(params: dict[str, Any], longest: int, ppi: float) -> int:
     ppi = 72 if ppi <= 1 else ppi
     p = next(p for p in PARAMS if p.key == key)
     return int(min(p.high, max(p.low, math.floor(longest / ppi * params["dpi"] + 0.5))))
+
+
+def same(one: dict[str, Any], two: dict[str, Any]) -> bool:
+    """Whether two sets of settings mean the same: unknown keys and spellings don't count."""
+    return sanitized(one) == sanitized(two)
+
+
+def stepped(value: Column, step: float, low: float, high: float) -> Column:
+    """A control's value on its steps (0: none), to six decimals, within its range."""
+    on = F.floor(value / step + 0.5) * step if step else value
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.floor(on * 1e6 + 0.5) / 1e6))
+
+
+def with_locked(extracted: list[str], current: list[str], locked: list[int]) -> list[str]:
+    """Extracted swatches, but for the locked ones, which stay."""
+    return [current[i] if i in locked and i < len(current) and current[i] else c for i, c in enumerate(extracted)]
+
+
+def padded(swatches: list[str], count: int) -> list[str]:
+    """As many swatches as asked for: the last one again, or grey if there is none."""
+    kept = list(swatches[:count])
+    return kept + [kept[-1] if kept else "#808080"] * (count - len(kept))

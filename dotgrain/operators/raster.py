@@ -132,3 +132,26 @@ def filled(painted: DataFrame, blank: DataFrame, image_id: str, paper: tuple[int
     """Painted pixels on a whole sheet of paper."""
     out = blank.join(painted.drop("image_id"), ["x", "y"], "left")
     return out.select(F.lit(image_id).alias("image_id"), "x", "y", *(F.coalesce(c, F.lit(v)).cast("long").alias(c) for c, v in zip("rgb", paper, strict=True)), F.lit(255).cast("long").alias("a"))
+
+
+def plate_order(plate: Column, paper: int) -> Column:
+    """In which order plates are written: the paper, then the inks by their index."""
+    return F.when(plate == paper, 0).otherwise(plate + 1)
+
+
+def plate_pictures(masks: DataFrame, blank: DataFrame, count: int, paper: int) -> DataFrame:
+    """masks (image_id, plate, x, y, v) of all inks as whole grey pictures, black where there is ink: image_id, plate, x, y,
+    r, g, b, a. Pixels that a mask doesn't have are white."""
+    plates = masks.select("image_id").distinct().withColumn("plate", F.explode(F.array(*(F.lit(i) for i in range(count) if i != paper))))
+    sheet = blank.withColumn("__p", F.explode(F.array(*(F.lit(i) for i in range(count) if i != paper)))).withColumnRenamed("__p", "plate")
+    every = sheet.join(F.broadcast(plates), "plate")  # a picture's plates: at most 9 rows
+    out = every.join(masks, ["image_id", "plate", "x", "y"], "left")
+    grey = (255 - F.coalesce("v", F.lit(0))).cast("long")
+    return out.select("image_id", "plate", "x", "y", *(grey.alias(c) for c in "rgb"), F.lit(255).cast("long").alias("a"))
+
+
+def survivors(px: DataFrame) -> DataFrame:
+    """image_id, share: how much of a rendering a selection has left; an error where that is nothing."""
+    share = F.avg((F.col("a") > 0).cast("double"))
+    none = F.raise_error(F.lit("the selection has no pixel of the picture")).cast("double")
+    return px.groupBy("image_id").agg(F.when(share > 0, share).otherwise(none).alias("share"))

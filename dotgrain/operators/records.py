@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import params
 
 KEPT = 400
+LEVELS = 1000
 
 
 def render_id(*parts: Column) -> Column:
@@ -35,15 +38,39 @@ def load(ids: DataFrame, embedded: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 def tree(layers: DataFrame) -> DataFrame:
     """layers (id, parent_id, ord, kind, name) with depth, path (zero-filled orders, so it sorts in pre-order) and
-    inside: whether an ancestor is an output group. A recursive query; depth is limited to 32."""
+    inside: whether an ancestor is an output group. A recursive query, without a limit of rows; a tree of over LEVELS
+    levels is an error."""
     spark: SparkSession = layers.sparkSession
-    view = f"layers_{abs(hash(layers)) % 10**12}"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(LEVELS))
+    view = f"layers_{uuid.uuid4().hex}"
     layers.createOrReplaceTempView(view)
-    return spark.sql(f"""WITH RECURSIVE walk AS (
+    walked = spark.sql(f"""WITH RECURSIVE walk AS (
       SELECT id, parent_id, kind, name, 0 AS depth, lpad(CAST(ord AS STRING), 8, '0') AS path, false AS inside FROM {view} WHERE parent_id IS NULL
       UNION ALL
       SELECT c.id, c.parent_id, c.kind, c.name, w.depth + 1, concat(w.path, '/', lpad(CAST(c.ord AS STRING), 8, '0')), w.inside OR (w.kind = 'group' AND w.name LIKE 'HT-%')
-      FROM {view} c JOIN walk w ON c.parent_id = w.id WHERE w.depth < 32) SELECT * FROM walk""")
+      FROM {view} c JOIN walk w ON c.parent_id = w.id) SELECT * FROM walk""")
+    spark.catalog.dropTempView(view)
+    return walked
+
+
+def bounds(layers: DataFrame, width: int, height: int) -> DataFrame:
+    """layers with left, top, right, bottom: widened to whole pixels and cut to the canvas; the whole canvas for a layer
+    without bounds, or with none of its area on the canvas."""
+    edge = {
+        "left": F.greatest(F.lit(0), F.floor("left")), "top": F.greatest(F.lit(0), F.floor("top")),
+        "right": F.least(F.lit(width), F.ceil("right")), "bottom": F.least(F.lit(height), F.ceil("bottom")),
+    }
+    known = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("right").isNotNull() & F.col("bottom").isNotNull()
+    some = known & (edge["right"] - edge["left"] >= 1) & (edge["bottom"] - edge["top"] >= 1)
+    whole = {"left": 0, "top": 0, "right": width, "bottom": height}
+    return layers.withColumns({k: F.when(some, v).otherwise(whole[k]).cast("long") for k, v in edge.items()})
+
+
+def preview(targets: DataFrame) -> DataFrame:
+    """count and names (in their order) of what a batch would touch; one row, also for none."""
+    named = F.transform(F.array_sort(F.collect_list(F.struct("path", "name"))), lambda s: s["name"])
+    return targets.agg(F.count(F.lit(1)).alias("count"), named.alias("names"))
 
 
 def leaves(walked: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geometry, tone
 from ..functions.kernels import KERNELS
 from ..functions.matrices import ORDERED
-from ..functions.params import sanitized
+from ..functions.params import sanitized, stepped
 from ..operators import cells, dither, palette, raster, records, separation, svg
 from ..operators.palette import INKS
 from ..sources import codecs, images
@@ -420,9 +420,9 @@ def batch_targets(spark, sf_dir):
 
 
 @query("""SELECT p_partkey AS id, greatest(8e0, least(400e0, p_retailprice - 900e0 + p_size * 9)) AS density, CASE WHEN p_type IN ('circle') THEN p_type ELSE 'circle' END AS shape,
- (p_size * 6)::DOUBLE AS "blackPoint", CASE WHEN greatest(1e0, p_size * 4) <= least(254, p_size * 6) THEN least(255, p_size * 6 + 1) ELSE p_size * 4 END::DOUBLE AS "whitePoint" FROM (SELECT * REPLACE (least(p_size, 42) AS p_size) FROM part)""")
+ least(254, p_size * 6)::DOUBLE AS "blackPoint", CASE WHEN greatest(1e0, p_size * 4) <= least(254, p_size * 6) THEN least(254, p_size * 6) + 1 ELSE p_size * 4 END::DOUBLE AS "whitePoint" FROM part""")
 def sanitize_params(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("p_size", F.least("p_size", F.lit(42)))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     text = lambda c: c.cast("string")
     raw = p.select(F.col("p_partkey").alias("id"), text(F.col("p_retailprice") - 900 + F.col("p_size") * 9).alias("density"), F.col("p_type").alias("shape"), text(F.col("p_size") * 6).alias("blackPoint"), text(F.col("p_size") * 4).alias("whitePoint"))
     return records.sanitize(raw)
@@ -450,3 +450,52 @@ def preset_list(spark, sf_dir):
     builtin = spark.range(1, 26).select(F.concat(F.lit("B"), F.col("id")).alias("name"), F.lit("built-in").alias("origin"))
     p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size > 40")
     return records.presets(builtin, p.select(F.replace("p_brand", F.lit("Brand#"), F.lit("B")).alias("name"), F.lit("own").alias("origin")).distinct())
+
+
+# ---- bounds, previews, plates, windows ----
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, greatest(0, floor(p_size * 7.3e0 - 40e0)) AS l, greatest(0, floor(p_retailprice / 9e0 - 120e0)) AS t, least(200, ceil(p_size * 9.1e0 - 10e0)) AS r,
+ least(150, ceil(p_retailprice / 7e0 - 110e0)) AS b, p_partkey % 11 = 0 AS bare FROM part), k AS (SELECT *, NOT bare AND r - l >= 1 AND b - t >= 1 AS ok FROM b)
+SELECT id, CASE WHEN ok THEN l ELSE 0 END::BIGINT AS "left", CASE WHEN ok THEN t ELSE 0 END::BIGINT AS top, CASE WHEN ok THEN r ELSE 200 END::BIGINT AS "right", CASE WHEN ok THEN b ELSE 150 END::BIGINT AS bottom FROM k""")
+def layer_bounds(spark, sf_dir):
+    p, price = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_retailprice").cast("double")
+    bare = lambda v: F.when(F.col("p_partkey") % 11 != 0, v)
+    given = {"left": F.col("p_size") * 7.3 - 40, "top": price / 9 - 120, "right": F.col("p_size") * 9.1 - 10, "bottom": price / 7 - 110}
+    return records.bounds(p.select(F.col("p_partkey").alias("id"), *(bare(v).alias(k) for k, v in given.items())), 200, 150)
+
+
+@query(f"{_WALK} SELECT count(*) AS count, string_agg(name, ';' ORDER BY path) AS names FROM walk WHERE kind IN ('pixel', 'text') AND NOT inside AND name NOT LIKE 'HT-%'")
+def scope_preview(spark, sf_dir):
+    return records.preview(records.batch_targets(records.tree(_layers(spark, sf_dir)))).select("count", F.array_join("names", ";").alias("names"))
+
+
+_AT = "x >= 20 AND x < 50 AND y >= 10 AND y < 50"
+
+
+@query(f"WITH {sql.PX} SELECT x - 20 AS x, y - 10 AS y, r, g, b, a FROM px WHERE {_AT}")
+def source_crop(spark, sf_dir):
+    px, *_ = pixels(spark, sf_dir)
+    return images.crop(px, 20, 10, 30, 40).select("x", "y", *"rgba")
+
+
+@query("SELECT p_partkey AS id, greatest(0.3e0, least(10e0, floor(floor(p_retailprice::DOUBLE / 100e0 / 0.25e0 + 0.5e0) * 0.25e0 * 1e6 + 0.5e0) / 1e6)) AS v FROM part")
+def stepped_values(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").alias("id"), stepped(F.col("p_retailprice").cast("double") / 100, 0.25, 0.3, 10).alias("v"))
+
+
+@query(f"WITH {sql.PX}, {_INK_DOTS}, {_CIRCLE}, k AS ({_SCREEN}) SELECT px.x, px.y, (255 - coalesce(k.v, 0))::BIGINT AS r, 255::BIGINT AS a, 1 AS place FROM px LEFT JOIN k USING (x, y)")
+def plate_pictures(spark, sf_dir):
+    """An ink's plate, black on white."""
+    px, w, h = pixels(spark, sf_dir)
+    p, c = _one_ink()
+    masks = render.screen_plates(px, w, h, p, c, w, h, 72, "events")
+    found = raster.plate_pictures(masks, images.blank(spark, w, h), 2, c.paper)
+    return found.select("x", "y", "r", "a", raster.plate_order(F.col("plate"), c.paper).alias("place"))
+
+
+@query(f"WITH {sql.PX} SELECT avg(CASE WHEN a > 0 THEN 1e0 ELSE 0e0 END) AS share FROM px")
+def survivor_share(spark, sf_dir):
+    px, *_ = pixels(spark, sf_dir)
+    return raster.survivors(px).select("share")

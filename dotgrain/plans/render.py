@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import color, geometry, tone
 from ..functions.params import resolution, sanitized
-from ..operators import blur, cells, dither, palette, raster, separation, svg
+from ..operators import blur, cells, dither, palette, raster, records, separation, svg
 from ..operators.palette import Palette
-from ..sources import images
+from ..sources import codecs, images
 
 
 @dataclass(frozen=True)
@@ -170,6 +170,25 @@ def plates(px: DataFrame, settings: dict[str, Any], ppi: float = 72) -> DataFram
     return found.select("image_id", "plate", "x", "y", "v", F.element_at(names, (F.col("plate") + 1).cast("int")).alias("hex"), F.lit(blend).alias("blend"))
 
 
+def export_plates(px: DataFrame, settings: dict[str, Any], base: str = "halftone", ppi: float = 72) -> DataFrame:
+    """file, hex, png: a grey picture for each ink, black where it prints, in the order in which inks come."""
+    p = sanitized(settings)
+    if p["mode"] == "dither":
+        raise ValueError("a dithered picture has no printable plates")
+    found = plates(px, p, ppi)
+    entries = found.select("plate", "hex").distinct().orderBy("plate").collect()  # a palette
+    w, h = images.size(px)
+    work, aw, ah = analyse(px, w, h, p, ppi)
+    c = colours(work, aw, ah, p)
+    pictures = raster.plate_pictures(found.select("image_id", "plate", "x", "y", "v"), images.blank(px.sparkSession, w, h), len(c.match), c.paper)
+    inks = {e["plate"]: e["hex"] for e in entries if e["plate"] != c.paper}
+    named = pictures.where(F.col("plate").isin(*inks)).withColumn("image_id", F.col("plate").cast("string"))
+    rows = [(str(i), f"{base} plate {n} {v[1:]}", v) for n, (i, v) in enumerate(inks.items(), 1)]
+    files = px.sparkSession.createDataFrame(rows, "image_id string, file string, hex string")
+    pngs = codecs.images_to_png(named)
+    return pngs.join(F.broadcast(files), "image_id").select(F.concat(records.safe_name(F.col("file")), F.lit(".png")).alias("file"), "hex", "png")
+
+
 def render_svg(px: DataFrame, settings: dict[str, Any], ppi: float = 72) -> DataFrame:
     """One document an image; dithering has no vector form."""
     p = sanitized(settings)

@@ -70,3 +70,17 @@ def mask_by_selection(px: DataFrame, selection: DataFrame, left: int, top: int)
     """Alpha from a selection (mx, my, a) whose corner lies at left, top; 0 beyond it."""
     s = selection.select((F.col("mx") + left).alias("x"), (F.col("my") + top).alias("y"), F.col("a").alias("__a"))
     return px.join(s, ["x", "y"], "left").withColumn("a", F.coalesce("__a", F.lit(0)).cast("long")).select(*PIXEL)
+
+
+def crop(px: DataFrame, left: int, top: int, w: int, h: int) -> DataFrame:
+    """The window's pixels, counted from its corner."""
+    inside = F.col("x").between(left, left + w - 1) & F.col("y").between(top, top + h - 1)
+    return px.where(inside).withColumns({"x": F.col("x") - left, "y": F.col("y") - top})
+
+
+def black(spark: SparkSession, w: int, h: int) -> DataFrame:
+    return solid(spark, w, h, (0, 0, 0, 255), "black")
+
+
+def white(spark: SparkSession, w: int, h: int) -> DataFrame:
+    return solid(spark, w, h, (255, 255, 255, 255), "white")
