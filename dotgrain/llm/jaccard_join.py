@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,6 +237,12 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"]).filter(pa.array(same))
 
 
+def largest_first() -> Column:
+    """A node's number such that nodes of twice as many classes come first: most pairs of a crowd then meet in few
+    nodes, and its classes are candidates in these only."""
+    return F.shiftleft(40 - F.floor(F.log2(F.col("n"))), 57).bitwiseOR(F.col("bucket").bitwiseAND(F.lit((1 << 57) - 1)))
+
+
 def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """doc_id, key, class_id, n_links for each row of docs (doc_id, text).
 
@@ -258,7 +264,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = level.join(sizes, "bucket")
         small = met if depth == DEPTH else met.where(F.col("n") <= SMALL)
-        leaves.append(small.select("key", "bucket"))
+        leaves.append(small.select("key", "bucket", "n"))
         if depth < DEPTH:
             large = stage(met.where(F.col("n") > SMALL).select("key", "bucket"), "large")
             if large.isEmpty():
@@ -269,13 +275,13 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
                 further = stage(further.distinct(), "further")
                 sizes = further.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                 further = further.join(sizes, "bucket")
-                leaves.append(further.where(F.col("n") <= SMALL).select("key", "bucket"))
+                leaves.append(further.where(F.col("n") <= SMALL).select("key", "bucket", "n"))
                 large = large.unionByName(further.where(F.col("n") > SMALL).select("key", "bucket"))
             level = large.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    nodes = stage(nodes.repartition("key"), "leaves")
+    nodes = stage(nodes.withColumn("bucket", largest_first()).repartition("key"), "leaves")
     visits = nodes.groupBy("key").agg(F.array_sort(F.collect_list("bucket")).alias("nodes"))
     visits = visits.join(classes.select("key", "copies", "size", "sig"), "key")
     spread = visits.withColumn("bucket", F.explode("nodes"))
