@@ -36,6 +36,7 @@ BOUND = 4.0
 RECALL = 0.999  # of pairs at the threshold
 BLOCK = 1024
 ROWS = 256  # of a task's matrices that are worked on at once
+VISITS = 8192  # classes in nodes that are split at once
 _MULT = mix64(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix64(np.arange(9001, 9001 + SIGNATURE, dtype=np.uint64))
 
@@ -125,11 +126,17 @@ def first_nodes(batches: Iterator[pa.RecordBatch], threshold: float, runs: int,
 
 
 def next_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The children of each class (key, buckets, sig) in all its nodes."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        row, paths = _children(np.asarray(batch.column("bucket")).view(np.uint64), _sigs(batch.column("sig")), threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("key"))[row]), pa.array(paths.view(np.int64))], ["key", "bucket"])
+        buckets, sigs, keys = batch.column("buckets"), _sigs(batch.column("sig")), np.asarray(batch.column("key"))
+        of = np.repeat(np.arange(len(keys)), np.asarray(pc.list_value_length(buckets)))
+        nodes = np.asarray(buckets.flatten()).view(np.uint64)
+        for lo in range(0, len(of), VISITS):
+            part = of[lo : lo + VISITS]
+            row, paths = _children(nodes[lo : lo + VISITS], sigs[part], threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part[row]]), pa.array(paths.view(np.int64))], ["key", "bucket"])
 
 
 def _first_meeting(nodes: list[np.ndarray], node: int) -> np.ndarray:
@@ -277,7 +284,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
                 further = further.join(sizes, "bucket")
                 leaves.append(further.where(F.col("n") <= SMALL).select("key", "bucket", "n"))
                 large = large.unionByName(further.where(F.col("n") > SMALL).select("key", "bucket"))
-            level = large.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")
+            own = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most some 100: runs x 1.25 ** depth on average
+            level = own.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
