@@ -7,6 +7,9 @@ they share the sampled token. Two classes at the threshold share one child on av
 ones soon share none. Nodes of up to SMALL classes are brute-forced; larger ones split further, to DEPTH. RUNS
 independent runs reach RECALL at the threshold for pairs that share a node of up to SMALL classes at FIRST_DEPTH. All
 others share larger nodes there: the classes in those take part in as many further runs as RECALL needs at DEPTH.
+A node splits only where that leaves fewer pairs to compare: its children hold similarity / threshold of its pairs, so a
+crowd of near copies would go through all depths and runs undiminished. Such a dense node, by the mean similarity of
+about SAMPLE of its signatures, is brute-forced as it is, in blocks; no pair is lost by it.
 
 In a node, signatures first rule out pairs that are far below the threshold (BOUND standard deviations); what is left
 is verified on the whole shingle sets. A pair is handled in one node only, the least that both visit, so links are
@@ -37,6 +40,7 @@ RECALL = 0.999  # of pairs at the threshold
 BLOCK = 1024
 ROWS = 256  # of a task's matrices that are worked on at once
 VISITS = 8192  # classes in nodes that are split at once
+SAMPLE = 32  # signatures a node whose density is looked at
 _MULT = mix64(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix64(np.arange(9001, 9001 + SIGNATURE, dtype=np.uint64))
 
@@ -139,6 +143,43 @@ def next_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(keys[part[row]]), pa.array(paths.view(np.int64))], ["key", "bucket"])
 
 
+def cutoff(threshold: float, spent: int, runs: int, levels: int) -> float:
+    """The mean similarity from which splitting a node for some more levels, in all runs instead of those spent so far,
+    compares no fewer pairs than brute force."""
+    return threshold * (spent / runs) ** (1 / levels)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """About SAMPLE signatures of each node, chosen by hash."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        visits, keys = batch.column("visits"), np.asarray(batch.column("key")).view(np.uint64)
+        of = np.repeat(np.arange(len(keys)), np.asarray(pc.list_value_length(visits)))
+        nodes, n = (np.asarray(pc.struct_field(visits.flatten(), c)) for c in ("bucket", "n"))
+        chosen = np.flatnonzero(mix64(keys[of] + mix64(nodes.view(np.uint64))) / 2.0**64 < SAMPLE / n)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen]), batch.column("sig").take(pa.array(of[chosen]))], ["bucket", "sig"])
+
+
+def _dense(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The nodes (bucket, sigs) whose signatures are alike in at least this share of their coordinates, on average."""
+    for batch in batches:
+        found = []
+        for node, sigs in zip(batch.column("bucket").to_pylist(), batch.column("sigs"), strict=True):
+            x = _sigs(sigs.values)
+            if len(x) > 1 and np.mean([(x[:i] == x[i]).mean(1).sum() for i in range(1, len(x))]) >= least * len(x) / 2:
+                found.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bucket"])
+
+
+def parted(large: DataFrame, sigs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Visits (key, bucket, n) of nodes that are at least so dense, and those of all others."""
+    own = large.groupBy("key").agg(F.collect_list(F.struct("bucket", "n")).alias("visits"))
+    few = own.join(sigs, "key").mapInArrow(_sampled, "bucket long, sig binary").groupBy("bucket").agg(F.collect_list("sig").alias("sigs"))
+    dense = stage(few.mapInArrow(lambda it: _dense(it, least), "bucket long"), "dense")
+    return large.join(dense, "bucket", "left_semi"), stage(large.join(dense, "bucket", "left_anti"), "split")
+
+
 def _first_meeting(nodes: list[np.ndarray], node: int) -> np.ndarray:
     """For all pairs: whether they meet in no node less than this one."""
     m = len(nodes)
@@ -273,17 +314,23 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
         small = met if depth == DEPTH else met.where(F.col("n") <= SMALL)
         leaves.append(small.select("key", "bucket", "n"))
         if depth < DEPTH:
-            large = stage(met.where(F.col("n") > SMALL).select("key", "bucket"), "large")
+            large = stage(met.where(F.col("n") > SMALL).select("key", "bucket", "n"), "large")
+            if large.isEmpty():
+                break
+            every = max(runs, runs_for(threshold, DEPTH)) if depth == FIRST_DEPTH else runs
+            dense, large = parted(large, sigs, cutoff(threshold, runs, every, DEPTH - depth))
+            leaves.append(dense.select("key", "bucket", "n"))
             if large.isEmpty():
                 break
-            if depth == FIRST_DEPTH and (more := runs_for(threshold, DEPTH) - runs) > 0:
+            if every > runs:
                 crowded = sigs.join(large.select("key").distinct(), "key", "left_semi")
-                further = crowded.mapInArrow(lambda it: first_nodes(it, threshold, more, FIRST_DEPTH, runs), "key long, bucket long")
+                further = crowded.mapInArrow(lambda it: first_nodes(it, threshold, every - runs, FIRST_DEPTH, runs), "key long, bucket long")
                 further = stage(further.distinct(), "further")
                 sizes = further.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                further = further.join(sizes, "bucket")
-                leaves.append(further.where(F.col("n") <= SMALL).select("key", "bucket", "n"))
-                large = large.unionByName(further.where(F.col("n") > SMALL).select("key", "bucket"))
+                further = stage(further.join(sizes, "bucket").select("key", "bucket", "n"), "further")
+                dense, rest = parted(further.where(F.col("n") > SMALL), sigs, cutoff(threshold, every, every, DEPTH - depth))
+                leaves += [further.where(F.col("n") <= SMALL), dense.select("key", "bucket", "n")]
+                large = large.unionByName(rest)
             own = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most some 100: runs x 1.25 ** depth on average
             level = own.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")
     nodes = leaves[0]

@@ -91,6 +91,25 @@ def test_jaccard_recall_in_deep_nodes(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 1)  # all nodes are split to the last depth
     got = jaccard_join.link(docs(spark, rows)).where("n_links > 0").count()
     assert got >= 2 * 397
+    monkeypatch.setattr(jaccard_join, "cutoff", lambda *_: 2.0)  # dense ones, too
+    got = jaccard_join.link(docs(spark, rows)).where("n_links > 0").count()
+    assert got >= 2 * 397
+
+
+def test_jaccard_dense_nodes(spark, monkeypatch):
+    """A crowd of near copies isn't split: its links are those of brute force."""
+    r, base = random.Random(62), words(random.Random(63), 120)
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(r.randrange(3)):
+            own[r.randrange(len(own))] = "changed" + str(k)
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "next_nodes", None)  # not reached
+    got = jaccard_join.link(docs(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_links(rows))
 
 
 def test_jaccard_keep_one(spark):
