@@ -7,9 +7,10 @@ they share the sampled token. Two classes at the threshold share one child on av
 ones soon share none. Nodes of up to SMALL classes are brute-forced; larger ones split further, to DEPTH. RUNS
 independent runs reach RECALL at the threshold for pairs that share a node of up to SMALL classes at FIRST_DEPTH. All
 others share larger nodes there: the classes in those take part in as many further runs as RECALL needs at DEPTH.
-A node splits only where that leaves fewer pairs to compare: its children hold similarity / threshold of its pairs, so a
-crowd of near copies would go through all depths and runs undiminished. Such a dense node, by the mean similarity of
-about SAMPLE of its signatures, is brute-forced as it is, in blocks; no pair is lost by it.
+A larger node splits only where that pays: its children hold similarity / threshold of its pairs, so a crowd of near
+copies would go through all depths and runs undiminished, and each visit costs as much as many comparisons. By its size
+and the mean similarity of about SAMPLE of its signatures a node that doesn't pay is brute-forced whole, in blocks; no
+pair is lost by it.
 
 In a node, signatures first rule out pairs that are far below the threshold (BOUND standard deviations); what is left
 is verified on the whole shingle sets. A pair is handled in one node only, the least that both visit, so links are
@@ -20,7 +21,7 @@ class that it reaches.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ BOUND = 4.0
 RECALL = 0.999  # of pairs at the threshold
 BLOCK = 1024
 ROWS = 256  # of a task's matrices that are worked on at once
+VISIT = 50  # a visit is shuffled and sorted (some microseconds), a comparison is one of signatures (below 0.1)
 VISITS = 8192  # classes in nodes that are split at once
 SAMPLE = 32  # signatures a node whose density is looked at
 _MULT = mix64(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) | np.uint64(1)
@@ -143,10 +145,10 @@ def next_nodes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(keys[part[row]]), pa.array(paths.view(np.int64))], ["key", "bucket"])
 
 
-def cutoff(threshold: float, spent: int, runs: int, levels: int) -> float:
-    """The mean similarity from which splitting a node for some more levels, in all runs instead of those spent so far,
-    compares no fewer pairs than brute force."""
-    return threshold * (spent / runs) ** (1 / levels)
+def pays(n: int, alike: float, threshold: float, spent: int, runs: int, levels: int) -> bool:
+    """Whether splitting a node of n classes, alike on average, for some more levels and in all runs instead of those
+    spent so far costs a class less than its n comparisons there: a visit to a node costs as much as VISIT of them."""
+    return runs / spent * (levels * VISIT + n * (alike / threshold) ** levels) < n
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +160,27 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(keys)), np.asarray(pc.list_value_length(visits)))
         nodes, n = (np.asarray(pc.struct_field(visits.flatten(), c)) for c in ("bucket", "n"))
         chosen = np.flatnonzero(mix64(keys[of] + mix64(nodes.view(np.uint64))) / 2.0**64 < SAMPLE / n)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen]), batch.column("sig").take(pa.array(of[chosen]))], ["bucket", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[chosen]), pa.array(n[chosen]), batch.column("sig").take(pa.array(of[chosen]))], ["bucket", "n", "sig"])
 
 
-def _dense(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The nodes (bucket, sigs) whose signatures are alike in at least this share of their coordinates, on average."""
+def _whole(batches: Iterator[pa.RecordBatch], worth: Callable[[int, float], bool]) -> Iterator[pa.RecordBatch]:
+    """The nodes (bucket, n, sigs) that aren't worth splitting, by the share of coordinates in which two of their
+    signatures agree, on average; a node of one signature or none is split."""
     for batch in batches:
         found = []
-        for node, sigs in zip(batch.column("bucket").to_pylist(), batch.column("sigs"), strict=True):
+        for node, n, sigs in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), batch.column("sigs"), strict=True):
             x = _sigs(sigs.values)
-            if len(x) > 1 and np.mean([(x[:i] == x[i]).mean(1).sum() for i in range(1, len(x))]) >= least * len(x) / 2:
+            if len(x) > 1 and not worth(n, 2 / len(x) * float(np.mean([(x[:i] == x[i]).mean(1).sum() for i in range(1, len(x))]))):
                 found.append(node)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bucket"])
 
 
-def parted(large: DataFrame, sigs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Visits (key, bucket, n) of nodes that are at least so dense, and those of all others."""
+def parted(large: DataFrame, sigs: DataFrame, worth: Callable[[int, float], bool]) -> tuple[DataFrame, DataFrame]:
+    """Visits (key, bucket, n) of nodes that stay whole, and of those that are split."""
     own = large.groupBy("key").agg(F.collect_list(F.struct("bucket", "n")).alias("visits"))
-    few = own.join(sigs, "key").mapInArrow(_sampled, "bucket long, sig binary").groupBy("bucket").agg(F.collect_list("sig").alias("sigs"))
-    dense = stage(few.mapInArrow(lambda it: _dense(it, least), "bucket long"), "dense")
-    return large.join(dense, "bucket", "left_semi"), stage(large.join(dense, "bucket", "left_anti"), "split")
+    few = own.join(sigs, "key").mapInArrow(_sampled, "bucket long, n long, sig binary").groupBy("bucket").agg(F.max("n").alias("n"), F.collect_list("sig").alias("sigs"))
+    whole = stage(few.mapInArrow(lambda it: _whole(it, worth), "bucket long"), "whole")
+    return large.join(whole, "bucket", "left_semi"), stage(large.join(whole, "bucket", "left_anti"), "split")
 
 
 def _first_meeting(nodes: list[np.ndarray], node: int) -> np.ndarray:
@@ -318,8 +321,9 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
             if large.isEmpty():
                 break
             every = max(runs, runs_for(threshold, DEPTH)) if depth == FIRST_DEPTH else runs
-            dense, large = parted(large, sigs, cutoff(threshold, runs, every, DEPTH - depth))
-            leaves.append(dense.select("key", "bucket", "n"))
+            left = DEPTH - depth
+            whole, large = parted(large, sigs, lambda n, alike, left=left, every=every: pays(n, alike, threshold, runs, every, left))
+            leaves.append(whole.select("key", "bucket", "n"))
             if large.isEmpty():
                 break
             if every > runs:
@@ -328,8 +332,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
                 further = stage(further.distinct(), "further")
                 sizes = further.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                 further = stage(further.join(sizes, "bucket").select("key", "bucket", "n"), "further")
-                dense, rest = parted(further.where(F.col("n") > SMALL), sigs, cutoff(threshold, every, every, DEPTH - depth))
-                leaves += [further.where(F.col("n") <= SMALL), dense.select("key", "bucket", "n")]
+                whole, rest = parted(further.where(F.col("n") > SMALL), sigs, lambda n, alike, left=left, every=every: pays(n, alike, threshold, every, every, left))
+                leaves += [further.where(F.col("n") <= SMALL), whole.select("key", "bucket", "n")]
                 large = large.unionByName(rest)
             own = large.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))  # at most some 100: runs x 1.25 ** depth on average
             level = own.join(sigs, "key").mapInArrow(lambda it: next_nodes(it, threshold), "key long, bucket long")

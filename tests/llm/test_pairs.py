@@ -91,7 +91,7 @@ def test_jaccard_recall_in_deep_nodes(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 1)  # all nodes are split to the last depth
     got = jaccard_join.link(docs(spark, rows)).where("n_links > 0").count()
     assert got >= 2 * 397
-    monkeypatch.setattr(jaccard_join, "cutoff", lambda *_: 2.0)  # dense ones, too
+    monkeypatch.setattr(jaccard_join, "pays", lambda *_: True)  # whole ones, too
     got = jaccard_join.link(docs(spark, rows)).where("n_links > 0").count()
     assert got >= 2 * 397
 
