@@ -251,6 +251,54 @@ def test_substring_dedup_triples(spark):
     assert sum((3 * k + 1, 3 * k + 2) in got for k in range(100)) >= 97
 
 
+def test_substring_dedup_lists_near_pairs_of_a_crowd(spark):
+    """Each two of 12 texts share a passage of 120 words but for a word of each: all pairs are listed."""
+    r = random.Random(93)
+    base, rows = words(r, 120), []
+    for k in range(12):
+        own = list(base)
+        own[5 + 10 * k if k < 11 else 60] = "edit" + str(k)
+        rows.append((k, " ".join(words(r, 40) + own + words(r, 40))))
+    got = {tuple(sorted((g.doc_id, g.other_id))) for g in substring_dedup.repeats(docs(spark, rows)).collect()}
+    assert got == {(i, j) for j in range(12) for i in range(j)}
+
+
+def test_substring_dedup_edits_in_the_middle(spark):
+    """Four words replaced in the middle of 84: no 46 shingles in a row have 40 in common, the passage has 72 of 88."""
+    r, rows = random.Random(95), []
+    for k in range(40):
+        base = words(r, 84)
+        for i in range(3):
+            own = list(base)
+            own[40:44] = [f"edit{k}of{i}at{j}" for j in range(4)] if i else own[40:44]
+            rows.append((3 * k + i, " ".join(words(r, 40) + own + words(r, 40))))
+    got = {tuple(sorted((g.doc_id, g.other_id))) for g in substring_dedup.repeats(docs(spark, rows)).collect()}
+    assert len(got & {(3 * k + i, 3 * k + j) for k in range(40) for j in range(3) for i in range(j)}) >= 117
+
+
+def test_group_links_leave_out_only_what_a_class_gives():
+    r = np.random.default_rng(5)
+    base = r.permutation(5000)[:200]
+    edited = base[:80].copy()
+    edited[30:35] = 6000 + np.arange(5)
+    beyond = np.concatenate([base[:60], [7000, 7001]])
+    windows = [base[:60], base[:60], base[:60], edited, edited[:79], beyond, beyond]
+    lengths = np.array([len(w) for w in windows])
+    ids = np.full((len(windows), lengths.max()), -1)
+    for row, w in zip(ids, windows, strict=True):
+        row[: len(w)] = w
+    _, n = np.unique(ids[ids >= 0], return_counts=True)
+    shared = np.isin(ids, np.unique(ids[ids >= 0])[n > 1])
+    tid = np.arange(len(windows)) + 1
+    every = {(i, j) for j in range(len(windows)) for i in range(j)}
+    got, stands = substring_dedup.group_links(tid, ids, lengths, shared, 46, 0.8)
+    assert stands.tolist() == [True, False, False, True, False, True, False]
+    assert every - set(got) == {(i, j) for i, j in every if i in (1, 2, 4) and j in (2, 4, 6)}
+    side = tid % 2 == 0
+    across, _ = substring_dedup.group_links(tid, ids, lengths, shared, 46, 0.8, side)
+    assert {(i, j) for i, j in every if side[i] != side[j]} - set(across) == set()
+
+
 def test_substring_dedup_recall_by_pair(spark):
     r, rows = random.Random(51), []
     for k in range(300):
