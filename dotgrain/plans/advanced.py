@@ -467,7 +467,7 @@ def layer_bounds(spark, sf_dir):
 
 @query(f"{_WALK} SELECT count(*) AS count, string_agg(name, ';' ORDER BY path) AS names FROM walk WHERE kind IN ('pixel', 'text') AND NOT inside AND name NOT LIKE 'HT-%'")
 def scope_preview(spark, sf_dir):
-    return records.preview(records.batch_targets(records.tree(_layers(spark, sf_dir)))).select("count", F.array_join("names", ";").alias("names"))
+    return records.preview(records.batch_targets(records.tree(_layers(spark, sf_dir)))).select("count", F.when(F.col("count") > 0, F.array_join("names", ";")).alias("names"))
 
 
 _AT = "x >= 20 AND x < 50 AND y >= 10 AND y < 50"
