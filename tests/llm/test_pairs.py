@@ -310,6 +310,18 @@ def test_substring_dedup_recall_by_pair(spark):
     assert len({g.doc_id // 2 for g in got if g.doc_id // 2 == g.other_id // 2}) >= 296
 
 
+def test_substring_dedup_writes_no_pairs_of_windows(spark, monkeypatch):
+    """They are many more than the pairs of texts that they are gathered to."""
+    r, rows, tags = random.Random(55), [], []
+    base = words(r, 120)
+    rows = [(k, " ".join(words(r, 20) + base + words(r, 20))) for k in range(6)]
+    stage = substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, tag: tags.append(tuple(df.columns)) or stage(df, tag))
+    got = substring_dedup.repeats(docs(spark, rows)).collect()
+    assert {k for g in got for k in (g.doc_id, g.other_id)} == set(range(6))
+    assert tags and ("tid", "rep", "place", "other") not in tags
+
+
 def test_align_follows_diagonals():
     r = random.Random(41)
 
